@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import estimated_bytes, stage
 
-ORDER, MU = 2, 400.0
+ORDER, MU = 2, 1000.0
 #: Tokens of a batch, and bytes of input (as its files are) for each range of keys.
 BATCH, RANGE_BYTES = 1_000_000, 8_000_000
 #: Fixed value: stands for the end of a text; no word holds white space.
