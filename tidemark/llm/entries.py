@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, fm_quality, hnsw, line_freq, packing, simhash, url_rank, winnow, wrappers
+from . import backoff_lm, fm_quality, hnsw, line_freq, packing, para_dedup, simhash, url_rank, winnow, wrappers
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit": lambda s, d: packing.report(table(s, d, "documents")),
         "op5_wrappers": lambda s, d: wrappers.report(table(s, d, "pages")),
         "op6_winnowing": lambda s, d: winnow.report(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op7_paragraph_minhash": lambda s, d: para_dedup.report(table(s, d, "documents")),
         "op8_line_frequency": lambda s, d: line_freq.report(table(s, d, "documents")),
         "op9_backoff_automaton": lambda s, d: backoff_lm.report(table(s, d, "documents")),
         "op10_simhash": lambda s, d: simhash.report(table(s, d, "documents")),
@@ -27,5 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_rank": url_rank.oracle_sql(),
+        "op7_paragraph_minhash": lambda s, d: para_dedup.report(table(s, d, "documents")),
         "op8_line_frequency": line_freq.oracle_sql(),
     }
