@@ -16,41 +16,24 @@ within one document is not reported. Rows that repeat a doc_id count as one docu
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .collide import SHINGLE, SIMILAR, Words, classes, mix, paired, sequence_hash, shifted, similar_pairs, sized
 from .common import stage
-from .graph import components
 
-MIN_WORDS, SHINGLE, SIMILAR = 20, 5, 0.8
+MIN_WORDS = 20
 BANDS, ROWS = 9, 3
 SPAN, ANCHOR = 32, 16
-#: Rounds that compare a bucket with one leader, before all that are still apart in it are compared.
-STARS = 4
-#: Tables of at most so many rows (of under 100 bytes) are sent to all tasks; larger ones are joined by a shuffle.
-SMALL = 200_000
 _RNG = np.random.default_rng(11)
 _FACTORS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def _paired(h: np.ndarray, step: int) -> np.ndarray:
-    """Hashes of twice as many words, from those at i and i + step; the last ones are of fewer and must not be used."""
-    return _mix(h, np.concatenate([h[step:], np.zeros(min(step, len(h)), np.uint64)]))
-
-
 def _sliding(h: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray:
     """pick over h[i : i + width], width a power of two."""
     step = 1
@@ -60,46 +43,23 @@ def _sliding(h: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray
     return h
 
 
-class Words:
-    """The words of many texts, one after the other, as 64-bit keys, with the ends of texts and of lines."""
-
-    def __init__(self, texts: list[bytes]) -> None:
-        place: dict = defaultdict()
-        place.default_factory = place.__len__
-        tokens, self.lines = [], []  # lines: (text, line, first word, words)
-        at = 0
-        self.first = []
-        for k, t in enumerate(texts):
-            self.first.append(at)
-            for j, line in enumerate(t.lower().split(b"\n")):
-                words = line.split()
-                if words:
-                    tokens.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
-                    self.lines.append((k, j, at, len(words)))
-                    at += len(words)
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place))
-        self.key = keys[np.concatenate(tokens)] if tokens else np.empty(0, np.uint64)
-        self.first.append(at)
-
-    def shingles(self) -> np.ndarray:
-        """Hash of the SHINGLE words from each place on."""
-        h = _paired(_paired(self.key, 1), 2)
-        return _mix(h, np.concatenate([self.key[SHINGLE - 1:], np.zeros(min(SHINGLE - 1, len(self.key)), np.uint64)]))
+class Passages(Words):
+    """Words with the windows that may be shared inside or across paragraphs."""
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of anchors whose window ends within the text, and the windows' hashes."""
         n = len(self.key)
         first = np.array(self.first)
         left = np.repeat(first[1:], np.diff(first)) - np.arange(n)  # words from here to the text's end
-        two = _paired(self.key, 1)
-        gram = _mix(two, np.concatenate([self.key[2:], np.zeros(min(2, n), np.uint64)])) | np.uint64(1)
+        two = paired(self.key, 1)
+        gram = mix(two, shifted(self.key, 2)) | np.uint64(1)
         low = _sliding(gram, ANCHOR, np.minimum, 2**64 - 1)
         low[left < ANCHOR + 2] = 0  # grams of the window must end within the text
         high = _sliding(low[::-1], ANCHOR, np.maximum, 0)[::-1]
         at = np.nonzero((high == gram) & (left >= SPAN))[0]
         h, step = self.key, 1
         while step < SPAN:
-            h = _paired(h, step)
+            h = paired(h, step)
             step *= 2
         return at, h[at]
 
@@ -112,11 +72,11 @@ def _units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 b = whole.slice(begin, 500)
-                ids, words = b.column(0).to_numpy(), Words([t or b"" for t in b.column(1).to_pylist()])
+                ids, words = b.column(0).to_numpy(), Passages([t or b"" for t in b.column(1).to_pylist()])
                 with np.errstate(over="ignore"):
                     yield from _rows(ids, words)
 
-    def _rows(ids: np.ndarray, words: Words) -> Iterator[pa.RecordBatch]:
+    def _rows(ids: np.ndarray, words: Passages) -> Iterator[pa.RecordBatch]:
         first = np.array(words.first)
         at, hashes = words.windows()
         text_of = np.searchsorted(first, at, "right") - 1
@@ -135,13 +95,9 @@ def _units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for i in range(BANDS):
             key = np.full(len(lines), i + 1, np.uint64)
             for m in minima[i * ROWS:(i + 1) * ROWS]:
-                key = _mix(key, m)
+                key = mix(key, m)
             bands.append(key)
-        # the paragraph's own hash: a polynomial of its words
-        power = np.repeat(lines[:, 2], lines[:, 3])
-        spots = np.repeat(lines[:, 2] - (np.cumsum(lines[:, 3]) - lines[:, 3]), lines[:, 3]) + np.arange(lines[:, 3].sum())
-        unit = np.add.reduceat(_mix(words.key[spots], (spots - power).astype(np.uint64)), np.cumsum(lines[:, 3]) - lines[:, 3])
-        unit = _mix(unit, lines[:, 3].astype(np.uint64))
+        unit = sequence_hash(words.key, lines[:, 2], lines[:, 3])
         flat = pa.array(np.stack(bands, 1).reshape(-1).view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(lines) + 1, BANDS, dtype=np.int32)), flat)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lines), np.int32)), pa.array(unit.view(np.int64)), pa.array(ids[lines[:, 0]]), pa.array(lines[:, 1].astype(np.int32)), pa.array((lines[:, 2] - first[lines[:, 0]]).astype(np.int32)), pa.array(lines[:, 3].astype(np.int32)), lists], schema=schema)
@@ -154,14 +110,13 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
     """(unit, shingles binary): the sorted distinct shingle hashes of wanted (unit, doc_id, line), from the documents that hold them."""
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "unit")).alias("lines")).withColumnRenamed("doc_id", "_id")
     by_doc = stage(by_doc, "wanted")
-    side = F.broadcast(by_doc) if by_doc.count() <= SMALL else by_doc
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).join(side, F.col("doc_id") == F.col("_id")).select("text", "lines")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).join(sized(by_doc), F.col("doc_id") == F.col("_id")).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 b = whole.slice(begin, 500)
-                words = Words([t or b"" for t in b.column(0).to_pylist()])
+                words = Passages([t or b"" for t in b.column(0).to_pylist()])
                 where = {(k, j): (a, n) for k, j, a, n in words.lines}
                 units, sets = [], []
                 with np.errstate(over="ignore"):
@@ -170,28 +125,12 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
                     for x in lines:
                         if found := where.get((k, x["line"])):
                             units.append(x["unit"])
-                            sets.append(np.unique(h[found[0]:found[0] + found[1] - SHINGLE + 1]).tobytes())
+                            sets.append(words.shingle_set(h, *found).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sets, pa.binary())], ["unit", "shingles"])
 
     return base.mapInArrow(run, "unit long, shingles binary").groupBy("unit").agg(F.min("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least ``similar``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= similar * max(len(x), len(y)) else 0
-                keep.append(common >= similar * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    left = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("unit").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _classes(units: DataFrame, docs: DataFrame, doc_id: str, text: str, similar: float) -> DataFrame:
     """(unit, class) of the distinct paragraphs that are linked to another; the rest are classes of their own."""
     distinct = units.filter("kind = 0").groupBy("unit").agg(F.min("bands").alias("bands"), F.min(F.struct("doc_id", "line")).alias("at"))
@@ -199,28 +138,8 @@ def _classes(units: DataFrame, docs: DataFrame, doc_id: str, text: str, similar:
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"))
     buckets = stage(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "unit", "at"), "buckets")
     sets = stage(_sets(docs, doc_id, text, buckets.select("unit", "at.doc_id", "at.line").distinct()), "sets")
-    buckets = buckets.select("key", "unit")
-    links, classes = None, None
-    for turn in range(STARS + 1):
-        now = buckets.withColumn("class", F.col("unit")) if classes is None else buckets.join(classes.withColumnsRenamed({"unit": "_unit"}), F.col("unit") == F.col("_unit"), "left").select("key", "unit", F.coalesce("class", "unit").alias("class"))
-        apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("r"), F.col("unit").alias("leader"), F.col("class").alias("of"))).alias("first")).filter("lo <> hi")
-        apart = apart.select(F.col("key").alias("_key"), F.col("first.leader").alias("leader"), F.col("first.of").alias("of"))
-        if turn < STARS:
-            pairs = now.join(apart, F.col("key") == F.col("_key")).filter(F.col("class") != F.col("of")).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
-        else:  # what four leaders left apart, exactly
-            rest = stage(now.join(apart.select("_key"), F.col("key") == F.col("_key")).select("key", "unit", "class"), "apart")
-            other = rest.select(F.col("key").alias("_key"), F.col("unit").alias("b"), F.col("class").alias("_class"))
-            pairs = rest.join(other, (F.col("key") == F.col("_key")) & (F.col("unit") < F.col("b")) & (F.col("class") != F.col("_class"))).select(F.col("unit").alias("a"), "b")
-        new = stage(_verified(pairs.distinct(), sets, similar), "links")
-        if new.limit(1).count() == 0:
-            if turn and turn < STARS:
-                continue
-            if classes is not None or turn == STARS:
-                break
-            continue
-        links = new if links is None else links.unionByName(new)
-        classes = stage(components(links, "paragraphs").select(F.col("node").alias("unit"), F.col("component").alias("class")), "classes")
-    return classes if classes is not None else buckets.select("unit", F.col("unit").alias("class")).limit(0)
+    found = classes(buckets.select("key", "unit"), lambda pairs: similar_pairs(pairs, sets, similar))
+    return found if found is not None else buckets.select("unit", F.col("unit").alias("class")).limit(0)
 
 
 def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -234,8 +153,7 @@ def passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sim
     alike = paragraphs.unionByName(units.filter("kind = 1").select("kind", "unit", "doc_id", "start", "n"))
     counted = alike.groupBy("kind", "unit").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).filter("first <> last")
     counted = stage(counted.select(F.col("kind").alias("_kind"), F.col("unit").alias("_unit"), "first", "copies"), "repeated")
-    side = F.broadcast(counted) if counted.count() <= SMALL else counted
-    found = alike.join(side, (F.col("kind") == F.col("_kind")) & (F.col("unit") == F.col("_unit"))).select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "first", "copies", (F.col("doc_id") != F.col("first")).alias("removed"))
+    found = alike.join(sized(counted), (F.col("kind") == F.col("_kind")) & (F.col("unit") == F.col("_unit"))).select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "first", "copies", (F.col("doc_id") != F.col("first")).alias("removed"))
     by = Window.partitionBy("doc_id", "removed").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .collide import SHINGLE, SIMILAR, Words, classes, mix, paired, sequence_hash, similar_pairs, sized
 from .common import stage
 from .graph import components
 
@@ -110,9 +111,141 @@ def report(docs: DataFrame) -> DataFrame:
     return clusters(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the one row of each component whose id is the smallest; columns as they are.
+def _odds(width: int, differ: float) -> float:
+    """The probability that two segments of so many bits differ in at most one."""
+    return (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+
+
+def layout(n: int, similar: float = SIMILAR, recall: float = 0.99) -> tuple[int, int, int]:
+    """(width of a segment, number of segments, most differing bits) of wide fingerprints for n texts.
+
+    Two texts whose five-word shingles have the Jaccard similarity s differ in a share e of their words with s = (1 - 5e) /
+    (1 + 5e), and share 1 - 2e of their word pairs; a bit of a SimHash over pairs differs with the probability of that
+    cosine's angle over pi. Segments are wide enough that a text meets a few others by chance, however many there are, and
+    so many that a pair at the similarity meets in one with the wanted probability. The distance allowed for is four
+    standard deviations above the mean at that similarity."""
+    edited = (1 - similar) / (1 + similar) / SHINGLE
+    differ = float(np.arccos(1 - 2 * edited) / np.pi)
+    width = min(60, max(20, int(np.ceil(np.log2(max(2, n)))) + 6))
+    segments = int(np.ceil(np.log(1 - recall) / np.log(1 - _odds(width, differ))))
+    bits = width * segments
+    return width, segments, int(bits * differ + 4 * np.sqrt(bits * differ * (1 - differ)))
+
+
+def wide(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """A SimHash of any width over distinct 64-bit hashes, as bits."""
+    out = []
+    for j in range(-(-bits // 64)):
+        h = mix(pairs, np.uint64(j + 1))
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), _BITS):
+            ones += np.unpackbits(h[i:i + _BITS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(ones * 2 > len(h))
+    return np.concatenate(out)[:bits]
+
+
+def _wide_prints(docs: DataFrame, doc_id: str, text: str, width: int, segments: int) -> DataFrame:
+    """(doc_id, unit: hash of the word sequence, bits binary, keys array<long>: segments, plain and with one bit cleared)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                b = whole.slice(begin, 500)
+                words = Words([t or b"" for t in b.column(1).to_pylist()])
+                first = np.array(words.first)
+                n = np.diff(first)
+                prints, keys = [], []
+                with np.errstate(over="ignore"):
+                    units = sequence_hash(words.key, first[:-1], n)
+                    two = paired(words.key, 1)
+                    for k in range(b.num_rows):
+                        a, z = first[k], first[k + 1]
+                        bits = wide(np.unique(two[a:z - 1] if z - a > 1 else words.key[a:z]), width * segments)
+                        table = bits.reshape(segments, width)
+                        value = (table * weights).sum(1, dtype=np.uint64)
+                        seg, bit = np.nonzero(table)
+                        at = np.concatenate([np.arange(segments), seg])
+                        keys.append(mix(np.concatenate([value, value[seg] ^ weights[bit]]), at.astype(np.uint64) + np.uint64(1)).view(np.int64))
+                        prints.append(np.packbits(bits).tobytes())
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))) if keys else pa.array([], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units.view(np.int64)), pa.array(prints, pa.binary()), lists], ["doc_id", "unit", "bits", "keys"])
+
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return base.mapInArrow(run, "doc_id long, unit long, bits binary, keys array<long>")
+
+
+def _near(pairs: DataFrame, prints: DataFrame, most: int) -> DataFrame:
+    """The pairs whose complete fingerprints differ in at most ``most`` bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            mask = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    left = prints.select(F.col("unit").alias("_a"), F.col("bits").alias("x"))
+    right = prints.select(F.col("unit").alias("_b"), F.col("bits").alias("y"))
+    return pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, class, least): groups of texts with a five-word-shingle Jaccard similarity of ``similar`` or more, over links.
+
+    Multi-index hashing over wide fingerprints: texts that agree in a segment up to one bit meet, their complete distance
+    is verified, and what is left is verified by the exact similarity. Texts of equal word sequences are one unit from
+    the start. least is the smallest doc_id of the group. Texts without words are copies of each other."""
+    docs_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    width, segments, most = layout(docs_.count(), similar)
+    wide_prints = stage(_wide_prints(docs_, "doc_id", "text", width, segments), "wide")
+    units = stage(wide_prints.groupBy("unit").agg(F.min("doc_id").alias("at"), F.min("bits").alias("bits")), "units")
+    first = wide_prints.join(units.select(F.col("unit").alias("_unit"), F.col("at").alias("_at")), (F.col("unit") == F.col("_unit")) & F.col("doc_id").eqNullSafe(F.col("_at")), "left_semi")
+    keyed = first.select("unit", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"))
+    buckets = stage(keyed.join(shared, F.col("key") == F.col("_key"), "left_semi").select("key", "unit"), "buckets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        near = stage(_near(pairs, units, most), "near")
+        return similar_pairs(near, _sets(docs_, units, near), similar)
+
+    found = classes(buckets, verify)
+    base = wide_prints.select("doc_id", "unit")
+    if found is None:
+        out = base.withColumn("class", F.col("unit"))
+    else:
+        out = base.join(found.withColumnRenamed("unit", "_unit"), F.col("unit") == F.col("_unit"), "left").select("doc_id", F.coalesce("class", "unit").alias("class"))
+    out = out.select("doc_id", "class")
+    least = out.groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "_class")
+    return out.join(least, F.col("class") == F.col("_class")).select("doc_id", "class", "least")
+
+
+def _sets(docs: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(unit, shingles) of the units in ``pairs``, from the first document of each."""
+    wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+    at = stage(units.join(wanted, F.col("unit") == F.col("u")).select("unit", F.col("at").alias("_at")), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                b = whole.slice(begin, 500)
+                words = Words([t or b"" for t in b.column(1).to_pylist()])
+                first = words.first
+                with np.errstate(over="ignore"):
+                    h = words.shingles()
+                    own = sequence_hash(words.key, np.array(first[:-1]), np.diff(first)).view(np.int64).tolist()
+                    sets = [words.shingle_set(h, a, z - a).tobytes() for a, z in zip(first, first[1:])]
+                # a repeated id may stand for another text
+                same = pa.array([x == y for x, y in zip(own, b.column(0).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(same), pa.array(sets, pa.binary()).filter(same)], ["unit", "shingles"])
+
+    joined = docs.join(sized(at), F.col("doc_id").eqNullSafe(F.col("_at"))).select("unit", F.col("text").cast("binary").alias("text"))
+    return joined.mapInArrow(run, "unit long, shingles binary").groupBy("unit").agg(F.min("shingles").alias("shingles"))
+
+
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with the one row of each group of near copies whose id is the smallest; columns as they are.
 
     Rows with a null id stay, as nothing tells which of them to keep; repeated rows of the kept id all stay."""
-    gone = clusters(docs, doc_id=doc_id, text=text).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_copies(docs, doc_id=doc_id, text=text, similar=similar).filter(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
