@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, stage
+from .common import estimated_bytes, map_arrow, stage
 
 ORDER, MU = 2, 1000.0
 #: Tokens of a batch, and bytes of input (as its files are) for each range of keys.
@@ -83,8 +83,7 @@ def _batches(docs: DataFrame, doc_id: str, text: str, held_mod: int) -> DataFram
             yield row()
 
     out = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % held_mod == 0, F.lit(False))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), out.alias("held"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        run, "batch long, ids array<long>, held array<boolean>, lens array<int>, n_words int, words binary, tokens binary")
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), out.alias("held"), F.col(text).cast("binary").alias("text")), run, "batch long, ids array<long>, held array<boolean>, lens array<int>, n_words int, words binary, tokens binary")
 
 
 class Grams:
@@ -141,7 +140,7 @@ def _requests(batches: DataFrame, order: int, ranges: int) -> DataFrame:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["range", "batch", "n", "size", "keys", "counts"])
 
-    return batches.mapInArrow(run, "range int, batch long, n int, size int, keys binary, counts binary")
+    return map_arrow(batches, run, "range int, batch long, n int, size int, keys binary, counts binary")
 
 
 def _summed(group: pa.Table) -> pa.Table:

@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import map_arrow, release
 
 WORDS, RANK, BINS = 1 << 14, 6, 16
 _STATS = 18
@@ -137,49 +140,32 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             packs = [[r[i].tobytes() for r in rows] for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p, pa.binary()) for p in packs)], ["label", "at", "value", "stats"])
 
-    got = chosen.mapInArrow(run, "label int, at binary, value binary, stats binary").collect()
+    got = map_arrow(chosen, run, "label int, at binary, value binary, stats binary").collect()
     got = sorted(got, key=lambda r: (bytes(r["at"]), bytes(r["value"]), r["label"]))[:4 * max_rows]
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), np.frombuffer(r["stats"], np.float64)) for r in got]
     return fit(rows, np.array([r["label"] for r in got], np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``_score``, one pass over whole texts; the other columns go along unread."""
-    fields = docs.schema.fields
+    """``docs`` with ``_score``, one pass over whole texts; only the texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: WORDS and RANK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[bytes, int] = {}
-        machine = shared.value
-        for b in batches:
-            texts = b.column("_bytes").to_pylist()
-            scores = [machine.score(*inputs(t or b"", known)) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(scores, pa.float64())], [*(f.name for f in fields), "_score"])
+        for texts in batches:
+            yield pa.array([shared.value.score(*inputs(t.as_py() or b"", known)) for t in texts], pa.float64())
+        release()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _score double"
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn("_score", score(F.col(text).cast("binary")))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     machine = train(docs, labels)
-    ids = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    out = scored_ids(ids, machine)
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), machine).withColumnRenamed("_score", "score")
     return out.select("doc_id", _held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-def scored_ids(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, score): like ``scored``, without giving the texts back."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for b in batches:
-            scores = [shared.value.score(*inputs(t or b"", known)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
-
-
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``; their columns as they are."""
     machine = train(docs, labels)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import map_arrow, stage
 
 #: Edges that one local union-find holds at a time.
 CHUNK = 200_000
@@ -48,7 +48,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contracted(edges: DataFrame) -> DataFrame:
     """The same components with at most one edge for each node and chunk, each from a larger to a smaller node."""
-    return edges.mapInArrow(_contract, "src long, dst long")
+    return map_arrow(edges, _contract, "src long, dst long")
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import map_arrow, stage
 
 CAPACITY = 2048
 #: Fixed value: the pattern by which byte-level BPE of this family cuts a text before merging.
@@ -86,7 +86,7 @@ def tokenized(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pa
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     pieces = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stage(pieces.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, part int, rank long"), "pieces")
+    return stage(map_arrow(pieces, run, "doc_id long, piece int, start long, length long, ids binary, part int, rank long"), "pieces")
 
 
 class Rooms:
@@ -181,7 +181,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = step[:, 3] + nth // step[:, 2], step[:, 4] + nth % step[:, 2] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), pa.array(sequence), pa.array(offset)], [*given, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in given) + ", sequence_id long, offset long")
+    return map_arrow(ranked, place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in given) + ", sequence_id long, offset long")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, sized, stage
 
 #: Fixed value: what separates words, after A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -128,4 +128,5 @@ def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
 
     Rows are told apart by their id: a row whose id another, hit row bears goes too."""
     hit = contamination(docs, items, doc_id=doc_id, text=text).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = sized(stage(hit, "hit"))
     return docs.join(hit, F.col(doc_id).eqNullSafe(F.col("_hit")), "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import map_arrow, stage
 from .url_rank import host_of
 
 _TOKEN = re.compile(
@@ -211,7 +211,7 @@ def wrappers(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataF
                         seen[host, "text", block.path.lstrip("*")] += len(text)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.string()) for i in range(3)] + [pa.array(list(seen.values()), pa.int64())], ["host", "kind", "what", "n"])
 
-    found = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(trees, "host string, kind string, what string, n long")
+    found = map_arrow(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")), trees, "host string, kind string, what string, n long")
     found = found.groupBy("host", "kind", "what").agg(F.sum("n").alias("n"))
 
     def one(group: pa.Table) -> pa.Table:
@@ -258,7 +258,7 @@ def extracted(pages: DataFrame, found: DataFrame, *, page_id: str = "page_id", u
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("_at"))
     places = found.select(F.col("host").alias("_host"), "place")
     joined = base.join(places, F.col("_at") == F.col("_host"), "left").select("page_id", "url", "html", "place")
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    return map_arrow(joined, run, "page_id long, url string, text string")
 
 
 def report(pages: DataFrame) -> DataFrame:
