@@ -28,6 +28,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_rank": url_rank.oracle_sql(),
-        "op7_paragraph_minhash": lambda s, d: para_dedup.report(table(s, d, "documents")),
         "op8_line_frequency": line_freq.oracle_sql(),
     }

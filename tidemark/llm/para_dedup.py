@@ -2,8 +2,9 @@
 
 A paragraph is a line of at least ``MIN_WORDS`` words. Its set of five-word shingles gets ``BANDS`` x ``ROWS`` minima,
 and each band of ``ROWS`` of them is a bucket; at a similarity of 0.8 a pair shares a bucket with a probability of 1 - (1 -
-0.8^3)^9 = 0.998. Colliding paragraphs are verified by exact Jaccard of their shingle sets, verified links make components, and of a component
-the paragraphs of the smallest doc_id stay. A passage that is copied into the middle of another paragraph makes the paragraphs
+0.8^3)^9 = 0.998. Paragraphs that collide with another get finer bands, colliding ones are verified by
+exact Jaccard of their shingle sets, verified links make components, and of a component the paragraphs of the smallest doc_id
+stay. A passage that is copied into the middle of another paragraph makes the paragraphs
 dissimilar; so windows of ``SPAN`` words are units as well, starting at anchors that depend on the words alone (the smallest hash of
 each ``ANCHOR`` consecutive three-word grams), which are alike only if equal. Any passage of SPAN + ANCHOR words that
 two documents share holds a common window.
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .collide import SHINGLE, SIMILAR, Words, classes, mix, paired, sequence_hash, shifted, similar_pairs, sized
-from .common import stage
+from .collide import SHINGLE, SIMILAR, Words, classes, mix, paired, sequence_hash, shifted, sketched
+from .common import map_arrow, sized, stage
 
 MIN_WORDS = 20
 BANDS, ROWS = 9, 3
@@ -103,7 +104,7 @@ def _units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lines), np.int32)), pa.array(unit.view(np.int64)), pa.array(ids[lines[:, 0]]), pa.array(lines[:, 1].astype(np.int32)), pa.array((lines[:, 2] - first[lines[:, 0]]).astype(np.int32)), pa.array(lines[:, 3].astype(np.int32)), lists], schema=schema)
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return base.mapInArrow(run, "kind int, unit long, doc_id long, line int, start int, n int, bands array<long>")
+    return map_arrow(base, run, "kind int, unit long, doc_id long, line int, start int, n int, bands array<long>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
                             sets.append(words.shingle_set(h, *found).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sets, pa.binary())], ["unit", "shingles"])
 
-    return base.mapInArrow(run, "unit long, shingles binary").groupBy("unit").agg(F.min("shingles").alias("shingles"))
+    return map_arrow(base, run, "unit long, shingles binary").groupBy("unit").agg(F.min("shingles").alias("shingles"))
 
 
 def _classes(units: DataFrame, docs: DataFrame, doc_id: str, text: str, similar: float) -> DataFrame:
@@ -137,8 +138,8 @@ def _classes(units: DataFrame, docs: DataFrame, doc_id: str, text: str, similar:
     keyed = distinct.select("unit", "at", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"))
     buckets = stage(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "unit", "at"), "buckets")
-    sets = stage(_sets(docs, doc_id, text, buckets.select("unit", "at.doc_id", "at.line").distinct()), "sets")
-    found = classes(buckets.select("key", "unit"), lambda pairs: similar_pairs(pairs, sets, similar))
+    sets = _sets(docs, doc_id, text, buckets.select("unit", "at.doc_id", "at.line").distinct())
+    found = classes(stage(sketched(sets), "sets"), similar)
     return found if found is not None else buckets.select("unit", F.col("unit").alias("class")).limit(0)
 
 
