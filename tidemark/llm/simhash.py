@@ -17,14 +17,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .collide import SHINGLE, SIMILAR, Words, classes, mix, paired, sequence_hash, similar_pairs, sized
-from .common import stage
+from .collide import SHINGLE, SIMILAR, Words, classes, kept, mix, paired, sequence_hash, sketched, with_both, within
+from .common import map_arrow, sized, stage
 from .graph import components
 
 SEED = 42
 #: Table buckets of more fingerprints are linked over shared ball centres, not pair by pair.
 BUCKET = 64
 _BITS = 4096
+#: Segment buckets of at most so many texts are paired.
+PAIRED = 16
+#: Bits of a segment that are cleared in turn.
+FLIPS = 4
 
 
 def fingerprint(text: bytes, n: int = 3) -> int:
@@ -53,7 +57,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             prints = np.array([fingerprint(t or b"", n) for t in b.column(1).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")), run, "doc_id long, fp long")
 
 
 def _keys(fp: Column) -> Column:
@@ -132,20 +136,24 @@ def layout(n: int, similar: float = SIMILAR, recall: float = 0.99) -> tuple[int,
     return width, segments, int(bits * differ + 4 * np.sqrt(bits * differ * (1 - differ)))
 
 
-def wide(pairs: np.ndarray, bits: int) -> np.ndarray:
-    """A SimHash of any width over distinct 64-bit hashes, as bits."""
+def wide(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A SimHash of any width over distinct 64-bit hashes, as bits, and how far each bit's count is from flipping."""
     out = []
     for j in range(-(-bits // 64)):
         h = mix(pairs, np.uint64(j + 1))
         ones = np.zeros(64, np.int64)
         for i in range(0, len(h), _BITS):
             ones += np.unpackbits(h[i:i + _BITS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(ones * 2 > len(h))
-    return np.concatenate(out)[:bits]
+        out.append(ones * 2 - len(h))
+    margin = np.concatenate(out)[:bits]
+    return margin > 0, np.abs(margin)
 
 
 def _wide_prints(docs: DataFrame, doc_id: str, text: str, width: int, segments: int) -> DataFrame:
-    """(doc_id, unit: hash of the word sequence, bits binary, keys array<long>: segments, plain and with one bit cleared)."""
+    """(doc_id, unit: hash of the word sequence, bits binary, keys array<long>: segments, plain and with one bit cleared).
+
+    Of two segments that differ in one bit, one has it set and meets the other by clearing it. A bit differs between near copies
+    because its count is close to half; only the FLIPS set bits of a segment that are closest are cleared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
         for whole in batches:
@@ -160,10 +168,14 @@ def _wide_prints(docs: DataFrame, doc_id: str, text: str, width: int, segments:
                     two = paired(words.key, 1)
                     for k in range(b.num_rows):
                         a, z = first[k], first[k + 1]
-                        bits = wide(np.unique(two[a:z - 1] if z - a > 1 else words.key[a:z]), width * segments)
+                        bits, margin = wide(np.unique(two[a:z - 1] if z - a > 1 else words.key[a:z]), width * segments)
                         table = bits.reshape(segments, width)
                         value = (table * weights).sum(1, dtype=np.uint64)
-                        seg, bit = np.nonzero(table)
+                        bit = np.argsort(np.where(table, margin.reshape(segments, width), 1 << 40), axis=1, kind="stable")[:, :FLIPS]
+                        seg = np.repeat(np.arange(segments), FLIPS)
+                        bit = bit.reshape(-1)
+                        set_ = table[seg, bit]
+                        seg, bit = seg[set_], bit[set_]
                         at = np.concatenate([np.arange(segments), seg])
                         keys.append(mix(np.concatenate([value, value[seg] ^ weights[bit]]), at.astype(np.uint64) + np.uint64(1)).view(np.int64))
                         prints.append(np.packbits(bits).tobytes())
@@ -172,44 +184,29 @@ def _wide_prints(docs: DataFrame, doc_id: str, text: str, width: int, segments:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units.view(np.int64)), pa.array(prints, pa.binary()), lists], ["doc_id", "unit", "bits", "keys"])
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return base.mapInArrow(run, "doc_id long, unit long, bits binary, keys array<long>")
-
-
-def _near(pairs: DataFrame, prints: DataFrame, most: int) -> DataFrame:
-    """The pairs whose complete fingerprints differ in at most ``most`` bits."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            mask = pa.array(np.bitwise_count(x ^ y).sum(1) <= most)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
-
-    left = prints.select(F.col("unit").alias("_a"), F.col("bits").alias("x"))
-    right = prints.select(F.col("unit").alias("_b"), F.col("bits").alias("y"))
-    return pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return map_arrow(base, run, "doc_id long, unit long, bits binary, keys array<long>")
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class, least): groups of texts with a five-word-shingle Jaccard similarity of ``similar`` or more, over links.
 
     Multi-index hashing over wide fingerprints: texts that agree in a segment up to one bit meet, their complete distance
-    is verified, and what is left is verified by the exact similarity. Texts of equal word sequences are one unit from
-    the start. least is the smallest doc_id of the group. Texts without words are copies of each other."""
+    is verified, and what is left is verified by the exact similarity. Buckets of over PAIRED texts, which are groups of
+    variants, are not paired: their texts are looked up by finer MinHash bands, and verified as exactly. Texts of equal
+    word sequences are one unit from the start. least is the smallest doc_id of the group. Texts without words are copies of each other."""
     docs_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     width, segments, most = layout(docs_.count(), similar)
     wide_prints = stage(_wide_prints(docs_, "doc_id", "text", width, segments), "wide")
     units = stage(wide_prints.groupBy("unit").agg(F.min("doc_id").alias("at"), F.min("bits").alias("bits")), "units")
     first = wide_prints.join(units.select(F.col("unit").alias("_unit"), F.col("at").alias("_at")), (F.col("unit") == F.col("_unit")) & F.col("doc_id").eqNullSafe(F.col("_at")), "left_semi")
     keyed = first.select("unit", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("_key"))
-    buckets = stage(keyed.join(shared, F.col("key") == F.col("_key"), "left_semi").select("key", "unit"), "buckets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        near = stage(_near(pairs, units, most), "near")
-        return similar_pairs(near, _sets(docs_, units, near), similar)
-
-    found = classes(buckets, verify)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("key", "_key")
+    buckets = stage(keyed.join(sizes, F.col("key") == F.col("_key")).select("key", "unit", "size"), "segments")
+    small = buckets.filter(F.col("size") <= PAIRED).groupBy("key").agg(F.sort_array(F.collect_list("unit")).alias("of"))
+    pairs = small.select("of", F.posexplode("of").alias("p", "a")).select("a", F.explode(F.slice("of", F.col("p") + 2, F.lit(PAIRED))).alias("b")).distinct()
+    near = stage(kept(with_both(pairs, units, "bits"), within(most)), "near")
+    wanted = near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).unionByName(buckets.filter(F.col("size") > PAIRED).select(F.col("unit").alias("u"))).distinct()
+    found = classes(stage(sketched(_sets(docs_, units, wanted)), "sets"), similar, near)
     base = wide_prints.select("doc_id", "unit")
     if found is None:
         out = base.withColumn("class", F.col("unit"))
@@ -220,9 +217,8 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out.join(least, F.col("class") == F.col("_class")).select("doc_id", "class", "least")
 
 
-def _sets(docs: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(unit, shingles) of the units in ``pairs``, from the first document of each."""
-    wanted = pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct()
+def _sets(docs: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(unit, shingles) of the units ``wanted`` (u), from the first document of each."""
     at = stage(units.join(wanted, F.col("unit") == F.col("u")).select("unit", F.col("at").alias("_at")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +236,7 @@ def _sets(docs: DataFrame, units: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(same), pa.array(sets, pa.binary()).filter(same)], ["unit", "shingles"])
 
     joined = docs.join(sized(at), F.col("doc_id").eqNullSafe(F.col("_at"))).select("unit", F.col("text").cast("binary").alias("text"))
-    return joined.mapInArrow(run, "unit long, shingles binary").groupBy("unit").agg(F.min("shingles").alias("shingles"))
+    return map_arrow(joined, run, "unit long, shingles binary").groupBy("unit").agg(F.min("shingles").alias("shingles"))
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -248,4 +244,5 @@ def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Rows with a null id stay, as nothing tells which of them to keep; repeated rows of the kept id all stay."""
     gone = near_copies(docs, doc_id=doc_id, text=text, similar=similar).filter(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = sized(stage(gone, "gone"))
     return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
