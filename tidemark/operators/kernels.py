@@ -163,3 +163,35 @@ def median_bandwidth(df: DataFrame, vector: str, key: str, group: str) -> DataFr
     b = df.select(F.col(group).alias("g"), F.col(key).alias("_j"), F.col(vector).alias("_b"))
     d = a.join(b, "g").filter(F.col("_i") < F.col("_j")).groupBy("g").agg(F.percentile(squared_distance("_a", "_b"), 0.5).alias("med"))
     return d.select(F.col("g").alias(group), F.sqrt(F.col("med") / 2).alias("sigma"), F.when(F.col("med") > 0, 1 / F.when(F.col("med") > 0, F.col("med"))).otherwise(1.0).alias("gamma"))
+
+
+def window_scores(df: DataFrame, columns: list[str], reference: int, test: int, *, length: int = 5000) -> DataFrame:
+    """score: root of the RBF discrepancy of the last ``test`` rows from the ``reference`` rows before them, with each row's own median
+    bandwidth. Windows are bounded, so long series run as many chunks with that much history."""
+    span = reference + test
+    base = df.select("series_id", "i", F.array(*[F.col(c).cast("double") for c in columns]).alias("v")).filter(~F.exists("v", lambda x: x.isNull()))
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("i").to_numpy())
+        i, own = table.column("i").to_numpy()[order], table.column("own").to_numpy(zero_copy_only=False)[order]
+        x = np.asarray(table.column("v").combine_chunks().flatten()).reshape(table.num_rows, -1)[order]
+        out_i, out_s = [], []
+        for z in range(span, len(i) + 1):
+            if not own[z - 1] or i[z - 1] - i[z - span] != span - 1:
+                continue
+            w = x[z - span:z]
+            sq = (w * w).sum(1)
+            d = np.maximum(sq[:, None] + sq[None] - 2 * w @ w.T, 0)
+            med = float(np.median(d[np.triu_indices(span, 1)]))
+            k = np.exp(-d / med) if med > 0 else np.ones_like(d)
+            a, b, c = k[:reference, :reference], k[reference:, reference:], k[:reference, reference:]
+            stat = (a.sum() - reference) / (reference * (reference - 1)) + (b.sum() - test) / (test * (test - 1)) - 2 * c.mean()
+            out_i.append(int(i[z - 1]))
+            out_s.append(float(np.sqrt(max(0.0, stat))))
+        sid = table.column("series_id")[0].as_py() if table.num_rows else None
+        return pa.table({"series_id": pa.array([sid] * len(out_i), pa.string()), "i": pa.array(out_i, pa.int32()), "score": pa.array(out_s, pa.float64())})
+
+    from ..series import chunked
+
+    found = chunked(base, length, span - 1).groupBy("series_id", "chunk").applyInArrow(run, "series_id string, i int, score double")
+    return df.join(found, ["series_id", "i"], "left")
