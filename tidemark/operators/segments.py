@@ -153,7 +153,9 @@ def overlap_stats(df: DataFrame, ensembles: DataFrame, *, span: int, label: str
     labels = [r[0] for r in cover.select("_label").distinct().orderBy("_label").collect()]
     base = df.join(cover, ["series_id", "i"], "left")
     w = ordered().rowsBetween(-(span - 1), 0)
-    counted = base.select("series_id", ret, F.explode(F.array(*[F.struct(F.lit(v).alias("regime"), F.sum((F.col("_label") == v).cast("int")).over(w).alias("n")) for v in labels])).alias("x"))
+    for v in labels:
+        base = base.withColumn(f"_n{v}", F.sum((F.col("_label") == v).cast("int")).over(w))
+    counted = base.select("series_id", ret, F.explode(F.array(*[F.struct(F.lit(v).alias("regime"), F.col(f"_n{v}").alias("n")) for v in labels])).alias("x"))
     weight: Column = F.col("x.n")
     sums = counted.filter((weight > 0) & F.col(ret).isNotNull()).groupBy("series_id", F.col("x.regime").alias("regime")).agg(F.sum(weight).alias("n"), F.sum(weight * F.col(ret)).alias("s"), F.sum(weight * F.col(ret) * F.col(ret)).alias("ss"))
     return sums.select("series_id", "regime", "n", (F.col("s") / F.col("n")).alias("mean_ret"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))).alias("vol"))

@@ -6,11 +6,10 @@ decisions feed their own state run as an ordered fold for each series.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import gamma_ppf
@@ -27,12 +26,30 @@ def percentile_flag(df: DataFrame, q: float, *, c: str = "score", out: str = "is
 def spaced(df: DataFrame, flag: str, width: int, *, out: str = "is_change") -> DataFrame:
     """Greedy suppression: after a kept hit, hits fewer than ``width`` rows later are dropped.
 
-    Only hits enter the fold, in order, and its state is the last kept hit."""
+    One ordered pass over each series, whose state is the last kept hit."""
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("i").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        i = table.column("i").to_numpy()
+        kept = np.zeros(len(i), bool)
+        last = None
+        for k in np.nonzero(table.column(flag).fill_null(False).to_numpy(zero_copy_only=False))[0]:
+            if last is None or i[k] - last >= width:
+                kept[k], last = True, i[k]
+        return table.append_column(out, pa.array(kept))
+
+    df = df.drop(out) if out != flag else df.withColumnRenamed(out, "_flag")
+    if out == flag:
+        return spaced(df, "_flag", width, out=out).drop("_flag")
+    return df.groupBy("series_id").applyInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` boolean")
+
+
+def spaced_hits(df: DataFrame, flag: str, width: int) -> DataFrame:
+    """(series_id, i) of the kept hits, by a fold over the array of hits: for few hits in long series."""
     hits = F.array_sort(F.collect_list(F.when(F.col(flag), F.col("i"))))
     kept = F.aggregate(F.col("_hits"), F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept")),
                        lambda acc, i: F.when(acc["last"].isNull() | (i - acc["last"] >= width), F.struct(i.alias("last"), F.concat(acc["kept"], F.array(i)).alias("kept"))).otherwise(acc))["kept"]
-    found = df.groupBy("series_id").agg(hits.alias("_hits")).select("series_id", F.explode(kept).alias("i"), F.lit(True).alias("_kept"))
-    return df.join(found, ["series_id", "i"], "left").withColumn(out, F.coalesce("_kept", F.lit(False))).drop("_kept")
+    return df.groupBy("series_id").agg(hits.alias("_hits")).select("series_id", F.explode(kept).alias("i"))
 
 
 def rolling_z(df: DataFrame, *, n: int = 504, ks: tuple[float, ...] = (2.5, 3.0, 3.5, 4.0, 4.5, 5.0), most: float = 0.2, c: str = "score") -> DataFrame:

@@ -166,11 +166,11 @@ def regime_mean(df: DataFrame, regime: str = "regime", ret: str = "ret", *, trai
     df = df.withColumn("_fit", F.when(F.col("i") > train, F.lit(train) + F.floor((F.col("i") - train - 1) / refit) * refit))
     block = F.when(F.col("i") <= train, F.lit(0)).otherwise(F.floor((F.col("i") - train - 1) / refit) + 1)
     sums = df.withColumn("_block", block).groupBy("series_id", F.col(regime).alias("_regime"), "_block").agg(F.sum(ret).alias("s"), F.count(ret).alias("n"))
-    marks = df.select("series_id", block.alias("_block")).distinct().crossJoin(F.broadcast(df.sparkSession.range(1).select(F.lit(1).alias("_one")))).drop("_one")
+    marks = df.select("series_id", block.alias("_block")).distinct()
     grid = marks.join(df.select("series_id", F.col(regime).alias("_regime")).distinct(), "series_id").join(sums, ["series_id", "_regime", "_block"], "left")
     w = Window.partitionBy("series_id", "_regime").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    past = grid.select("series_id", "_regime", F.col("_block").alias("_at"), (F.sum("s").over(w) / F.expr("nullif(sum(n) over (partition by series_id, _regime order by _block rows between unbounded preceding and 1 preceding), 0)")).alias(out))
-    joined = df.withColumn("_at", block).join(past.withColumnRenamed("series_id", "_s"), (F.col("series_id") == F.col("_s")) & (F.col(regime) == F.col("_regime")) & (F.col("_at") == past["_at"]), "left")
+    past = grid.select(F.col("series_id").alias("_s"), F.col("_regime").alias("_r"), F.col("_block").alias("_past"), (F.sum("s").over(w) / F.expr("nullif(sum(n) over (partition by series_id, _regime order by _block rows between unbounded preceding and 1 preceding), 0)")).alias(out))
+    joined = df.withColumn("_at", block).join(past, (F.col("series_id") == F.col("_s")) & (F.col(regime) == F.col("_r")) & (F.col("_at") == F.col("_past")), "left")
     return joined.select(*[c for c in df.columns if c != "_fit"], F.when(F.col("_fit").isNotNull(), F.col(out)).alias(out))
 
 
