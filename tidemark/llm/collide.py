@@ -16,6 +16,8 @@ from .graph import components
 
 #: Rounds that compare a bucket with one leader, before all that are still apart in it are compared.
 STARS = 4
+#: Units of a bucket that a task compares among themselves.
+BLOCK = 1024
 SHINGLE, SIMILAR = 5, 0.8
 FINE_BANDS, FINE_ROWS = 70, 12
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, FINE_BANDS * FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,16 +150,64 @@ def alike(similar: float) -> Callable[[list, list], list[bool]]:
     return test
 
 
-def verified(pairs: DataFrame, table: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of at least that similarity. Sketches rule out most others first (a pair at the similarity fails there
-    with a probability under 1 in 10,000: four standard deviations), then the exact sets decide."""
+def _most(similar: float) -> int:
+    """The differing sketch bits that a pair at the similarity exceeds with a probability of 1 in 700 (three standard deviations)."""
     bits = FINE_BANDS * FINE_ROWS
     differ = (1 - similar) / 2
-    most = int(bits * differ + 4 * np.sqrt(bits * differ * (1 - differ)))
-    near = stage(kept(with_both(pairs, table, "sketch"), within(most)), "near")
+    return int(bits * differ + 3 * np.sqrt(bits * differ * (1 - differ)))
+
+
+def verified(pairs: DataFrame, table: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of at least that similarity: sketches rule out most others, then the exact sets decide."""
+    near = stage(kept(with_both(pairs, table, "sketch"), within(_most(similar))), "near")
     return kept(with_both(near, table, "shingles"), alike(similar))
 
 
+def across(rest: DataFrame, table: DataFrame, similar: float) -> DataFrame:
+    """(a, b): units of different classes in a bucket (key, unit, class) whose sketches are near.
+
+    A task compares a bucket's sketches among themselves and gives back near pairs only; a bucket of over BLOCK units is cut into
+    blocks, and each two blocks are a portion of their own, so portions are bounded and no pair is left out."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("key", "_key")
+    rows = rest.join(sizes, F.col("key") == F.col("_key")).withColumn("side", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("portion"), (F.col("side") < F.col("other")).alias("low"), (F.col("side") > F.col("other")).alias("high"), "unit", "class")
+    rows = rows.join(table.select(F.col("unit").alias("_u"), "sketch"), F.col("unit") == F.col("_u")).drop("_u")
+    most = _most(similar)
+
+    def near(portion: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(portion)
+        unit, of = t.column("unit").to_numpy(), t.column("class").to_numpy()
+        low, high = (t.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(unit), -1)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(len(unit) - 1):
+            # a block meets another one from both sides, but its own units only in its own portion
+            rest_ = np.nonzero((of[i + 1:] != of[i]) & ~(low[i] & low[i + 1:]) & ~(high[i] & high[i + 1:]))[0] + i + 1
+            hit = rest_[np.bitwise_count(bits[rest_] ^ bits[i]).sum(1) <= most]
+            a.append(np.minimum(unit[i], unit[hit]))
+            b.append(np.maximum(unit[i], unit[hit]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            keys = t.column("portion").to_numpy()
+            cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and keys[x] != now:
+                    yield near(held)
+                    held = []
+                now = keys[x]
+                held.append(t.slice(x, y - x))
+        if held:
+            yield near(held)
+
+    return map_arrow(rows.repartition("portion").sortWithinPartitions("portion"), run, "a long, b long")
+
+
 def classes(table: DataFrame, similar: float, first: DataFrame | None = None) -> DataFrame | None:
     """(unit, class) for the units that are similar to another one; None if there are none.
 
@@ -184,15 +234,14 @@ def classes(table: DataFrame, similar: float, first: DataFrame | None = None) ->
             if turn < STARS:
                 pairs = now.join(apart, F.col("key") == F.col("_key")).filter(F.col("class") != F.col("of")).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
             else:
-                rest = stage(now.join(apart, F.col("key") == F.col("_key")).select("key", "unit", "class"), "apart")
-                other = rest.select(F.col("key").alias("_key"), F.col("unit").alias("b"), F.col("class").alias("_class"))
-                pairs = rest.join(other, (F.col("key") == F.col("_key")) & (F.col("unit") < F.col("b")) & (F.col("class") != F.col("_class"))).select(F.col("unit").alias("a"), "b")
+                pairs = across(stage(now.join(apart, F.col("key") == F.col("_key")).select("key", "unit", "class"), "apart"), table, similar)
         pairs = stage(pairs.distinct(), "pairs")
         if not pairs.limit(1).count():
             if turn > 0:
                 break
             continue
-        new = stage(verified(pairs, table, similar), "links")
+        new = verified(pairs, table, similar) if turn < STARS else kept(with_both(pairs, table, "shingles"), alike(similar))
+        new = stage(new, "links")
         if new.limit(1).count():
             linked = new if linked is None else linked.unionByName(new)
             found = stage(components(linked, "components").select(F.col("node").alias("unit"), F.col("component").alias("class")), "classes")
