@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, map_arrow, stage
+from .common import map_arrow, stage
 
 ORDER, MU = 2, 1000.0
-#: Tokens of a batch, and bytes of input (as its files are) for each range of keys.
-BATCH, RANGE_BYTES = 1_000_000, 8_000_000
+#: Tokens of a batch, and of the corpus for each range of keys.
+BATCH, RANGE = 1_000_000, 2_200_000
 #: Fixed value: stands for the end of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
 
@@ -231,8 +231,9 @@ def _scored(batches: DataFrame, answers: DataFrame, stats: tuple[int, int, int],
 
 def scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, mu: float = MU, held_mod: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens) for every row; learnt from the rows that are not held out."""
-    ranges = max(4, estimated_bytes(docs) // RANGE_BYTES)
     batches = stage(_batches(docs, doc_id, text, held_mod), "batches")
+    tokens = batches.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    ranges = max(4, tokens // RANGE)
     answers = _requests(batches, order, ranges).groupBy("range").applyInArrow(_summed, "range int, batch long, n int, stats array<long>, size int, totals binary")
     answers = stage(answers, "answers")
     sums = answers.filter("batch = -1").agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)) for i in range(3)]).first()
