@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import map_arrow, release, stage
 
 ORDER, MU = 2, 1000.0
 #: Tokens of a batch, and of the corpus for each range of keys.
-BATCH, RANGE = 1_000_000, 2_200_000
+BATCH, RANGE = 1_000_000, 1_100_000
 #: Fixed value: stands for the end of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
 
@@ -165,6 +165,8 @@ def _summed(group: pa.Table) -> pa.Table:
         ends = np.cumsum([r["size"] for r in mine])
         out += [(r["range"], r["batch"], n, None, r["size"], _pack(back[e - r["size"]:e].astype("<u8"))) for r, e in zip(mine, ends)]
     cols = list(zip(*out))
+    del rows, keys, counts, order, sums, back
+    release()
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()))], ["range", "batch", "n", "stats", "size", "totals"])
 
 
@@ -222,6 +224,7 @@ def _scored(batches: DataFrame, answers: DataFrame, stats: tuple[int, int, int],
             out["n_tokens"] += grams.lens.tolist()
             for name, value in (("n_known", (count > 0).astype(np.int64)), ("base_score", base), ("score", weights)):
                 out[name] += np.add.reduceat(value, grams.begin).tolist()
+        release()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
