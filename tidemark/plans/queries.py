@@ -356,6 +356,13 @@ def ladder_z(s, d):
     return tidy(thresholds.rolling_z(df, ks=(1.0, 1.5, 2.5), most=0.05), "series_id", "i", "is_change", k="k", threshold="threshold")
 
 
+@register(f"WITH {SEG}, {RET}, z AS (SELECT series_id, i, abs(ret) AS score FROM rt), q AS (SELECT series_id, quantile_cont(score, 0.95) AS q FROM z GROUP BY 1) SELECT count(DISTINCT series_id) AS series, sum(CAST(score > q AS INT)) AS changes, {r('avg(q)', 5)} AS mean_threshold FROM z JOIN q USING (series_id) WHERE score IS NOT NULL")
+def cross_series_summary(s, d):
+    df = thresholds.percentile_flag(windows.log_return(segment_px(s, d)).withColumn("score", F.abs("ret")), 0.95).dropna(subset=["score"])
+    out = df.agg(F.countDistinct("series_id").alias("series"), F.sum(F.col("is_change").cast("long")).alias("changes"), F.avg("threshold").alias("mean_threshold"))
+    return tidy(out, "series", "changes", mean_threshold="mean_threshold", digits=5)
+
+
 def _scored(s: SparkSession, d: str) -> DataFrame:
     return windows.log_return(segment_px(s, d)).withColumn("score", F.abs("ret")).select("series_id", "i", "ts", "score")
 
