@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pytest
+import corpus_pipeline
 
 from .helpers import text
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
 
 def test_stages_take_effect(spark, tmp_path):
     rows = [(i, text(i, 120) + "\nthe same footer", "en", f"s{i % 2}", 0) for i in range(60)]
