@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import ordered, rows, whole
+from ..series import ordered, rows, settled, whole
 from .paths import standardized
 
 #: Rows that linkage may hold on the driver.
@@ -38,6 +38,7 @@ def kmeans(df: DataFrame, columns: list[str], k: int = 3, *, scale: bool = True,
     ``d_own`` and ``d_other``: distances to the own and the nearest other centre. Rows with a null column get none."""
     known = df.dropna(subset=columns)
     scaled = standardized(known.withColumns({f"_f_{c}": F.col(c).cast("double") for c in columns}), [f"_f_{c}" for c in columns]) if scale else known.withColumns({f"_f_{c}": F.col(c).cast("double") for c in columns})
+    scaled = settled(scaled)
     vectors = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_v").transform(scaled)
     fits = [KMeans(k=k, seed=seed + t, featuresCol="_v", maxIter=100).fit(vectors) for t in range(tries)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
@@ -58,7 +59,7 @@ def cluster_regimes(df: DataFrame, columns: list[str], k: int = 3, *, regime: st
     smaller regimes get 0. With k regimes or fewer each is its own cluster."""
     means = df.groupBy("series_id", F.col(regime).alias("_regime")).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in columns]).filter(F.col("_n") >= at_least)
     few = F.count("*").over(whole()) <= k
-    means = means.withColumn("_few", few).withColumn("_rank", F.row_number().over(Window.partitionBy("series_id").orderBy("_regime")) - 1)
+    means = settled(means).withColumn("_few", few).withColumn("_rank", F.row_number().over(Window.partitionBy("series_id").orderBy("_regime")) - 1)
     if means.select("_few").distinct().filter("not _few").limit(1).count():
         fitted = kmeans(means, [f"_m_{c}" for c in columns], k, seed=seed, tries=2, out="_cluster").select("series_id", "_regime", F.when(F.col("_few"), F.col("_rank")).otherwise(F.col("_cluster")).alias("_cluster"))
     else:

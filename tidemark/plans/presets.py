@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clustering, kernels, labels, paths, segments, thresholds, windows
-from ..series import ordered, whole
+from ..series import ordered, settled, whole
 
 
 @dataclass(frozen=True)
@@ -89,6 +89,7 @@ def _finish(df: DataFrame, regime: str = "regime") -> DataFrame:
 
 
 def _named(df: DataFrame, naming) -> DataFrame:
+    df = settled(df)
     stats = naming(labels.profile(df)).select(F.col("series_id").alias("_s"), F.col("regime").alias("_r"), "label")
     return df.join(stats, (F.col("series_id") == F.col("_s")) & (F.col("regime") == F.col("_r")), "left").drop("_s", "_r")
 
@@ -103,7 +104,7 @@ def ensemble_zscore(df: DataFrame, config: EnsembleZscore = EnsembleZscore()) ->
     # an ensemble that starts at sub-path e ends at row e + ensemble - 1: its score is dated there
     dated = scores.select("series_id", (F.col("i") + c.ensemble - 1).cast("int").alias("i"), "score")
     base = df.select("series_id", "i", "ts", "close", "ret").join(dated, ["series_id", "i"], "left")
-    flagged = thresholds.rolling_z(base, n=c.history)
+    flagged = settled(thresholds.rolling_z(base, n=c.history))
     means = paths.ensemble_mean(sig, names, c.ensemble).withColumn("mean_sig", F.when(F.col("mean_s_xx").isNotNull(), F.array(*[f"mean_{n}" for n in names]))).select("series_id", "i", "mean_sig")
     labeled = clustering.ward_regimes(flagged.join(means, ["series_id", "i"], "left"), "mean_sig", c.regimes).drop("mean_sig")
     labeled = labels.score_confidence(_finish(labeled.withColumn("regime", F.coalesce("regime", F.lit(0)))))
@@ -116,9 +117,9 @@ def segment_kmeans(df: DataFrame, config: SegmentKmeans = SegmentKmeans()) -> Da
     sig = paths.power_signature(df, c.window, "ret", c.depth, c.stride).withColumn("end_i", F.col("i")).withColumn("i", ((F.col("i") - c.window) / c.stride + 1).cast("int"))
     names = [f"sig_{k}" for k in range(1, c.depth + 1)]
     scored = kernels.reference_scores(paths.standardized(sig, names), names, c.reference, c.test).filter("score is not null and i % 2 = 0")
-    ranked = scored.withColumn("at", F.col("end_i")).withColumn("i", F.row_number().over(ordered()).cast("int")).select("series_id", "i", "at", "score")
+    ranked = settled(scored).withColumn("at", F.col("end_i")).withColumn("i", F.row_number().over(ordered()).cast("int")).select("series_id", "i", "at", "score")
     changed = thresholds.ladder_mad(ranked).filter("is_change").select("series_id", (F.col("at") - 1).alias("cp"))
-    days = segments.numbered(segments.from_change_days(df, changed, out="_run"), "_run")
+    days = settled(segments.numbered(segments.from_change_days(df, changed, out="_run"), "_run"))
     stats = segments.segment_stats(days.withColumn("regime", F.col("seg"))).withColumn("vol", F.coalesce("vol", F.lit(0.0))).withColumn("sharpe", F.col("mean_ret") / (F.col("vol") + 1e-12)).withColumn("i", F.col("seg"))
     fitted = clustering.kmeans(stats, ["mean_ret", "vol", "sharpe", "max_dd"], c.regimes, tries=3, out="regime").select("series_id", "seg", F.col("regime").alias("_c"), "d_own", "d_other")
     out = days.drop("regime").join(fitted, ["series_id", "seg"], "left").withColumn("regime", F.coalesce("_c", F.lit(0)))
@@ -131,12 +132,12 @@ def feature_kmeans(df: DataFrame, config: FeatureKmeans = FeatureKmeans()) -> Da
     df = windows.log_return(df)
     df = windows.rolling_std(windows.log_return(df, c.window, out="ret_n"), "ret", c.window, "vol_n", annual=True)
     fitted = clustering.kmeans(df, ["ret_n", "vol_n"], c.regimes).select("series_id", "i", F.col("regime").alias("_r"), "d_own")
-    out = df.join(fitted, ["series_id", "i"], "left")
+    out = settled(df.join(fitted, ["series_id", "i"], "left"))
     first = F.first("_r", ignorenulls=True).over(whole().orderBy("i").rowsBetween(0, 10**9))
     out = out.withColumn("regime", F.coalesce("_r", first, F.lit(0)))
     ranks = labels.name_by_return(labels.profile(out)).select(F.col("series_id").alias("_s"), F.col("regime").alias("_o"), (F.col("rank") - 1).alias("_rank"))
     out = out.join(ranks, (F.col("series_id") == F.col("_s")) & (F.col("regime") == F.col("_o"))).withColumn("regime", F.col("_rank").cast("int")).drop("_s", "_o", "_rank", "_r")
-    out = segments.merged(out, policy="neighbor", limit=c.shortest)
+    out = segments.merged(settled(out), policy="neighbor", limit=c.shortest)
     out = labels.percentile_confidence(out, "d_own").withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).drop("d_own")
     return _named(_finish(out), labels.name_by_return)
 
@@ -148,7 +149,7 @@ def signature_vote(df: DataFrame, config: SignatureVote = SignatureVote()) -> Da
     names = [n for n in features.columns if n.startswith("o_")]
     fitted = clustering.kmeans(features, names, c.regimes, scale=False).select("series_id", "i", F.col("regime").alias("_r"), "d_own")
     out = df.join(fitted, ["series_id", "i"], "left").withColumn("_r", F.coalesce("_r", F.lit(0)))
-    out = windows.majority_vote(out, "_r", list(range(c.regimes)), c.vote, "regime").drop("_r")
+    out = settled(windows.majority_vote(out, "_r", list(range(c.regimes)), c.vote, "regime").drop("_r"))
     return _named(_finish(labels.nearest_confidence(out, "d_own").drop("d_own")), labels.name_by_return)
 
 
@@ -161,8 +162,8 @@ def gamma_merge(df: DataFrame, config: GammaMerge = GammaMerge()) -> DataFrame:
     scores = kernels.lag_scores(vectors, "v", c.ensemble, c.lags, sigma=1.0, mode="sqrt")
     flagged = thresholds.gamma_limit(scores.withColumn("i", F.col("i").cast("int")), q=c.q)
     changes = flagged.filter("is_change").select("series_id", (F.col("i") + c.ensemble - 1).alias("cp"))
-    out = segments.from_change_days(df, changes, step=c.window)
-    out = segments.merged(out, policy="regime", limit=c.shortest).withColumn("_v", F.col("ret") * F.col("ret"))
+    out = settled(segments.from_change_days(df, changes, step=c.window))
+    out = settled(segments.merged(out, policy="regime", limit=c.shortest).withColumn("_v", F.col("ret") * F.col("ret")))
     out = clustering.cluster_regimes(out, ["ret", "_v"], c.regimes, at_least=1).withColumn("regime", F.col("cluster")).drop("cluster", "_v")
     out = segments.numbered(_finish(out))
     return _named(labels.edge_confidence(out), labels.name_by_rank)
@@ -175,8 +176,8 @@ def moment_window(df: DataFrame, config: MomentWindow = MomentWindow()) -> DataF
     scaled = paths.standardized(df, names, first=c.start + 20)
     scored = kernels.window_scores(scaled, names, c.reference, c.test).select("series_id", "i", "score")
     out = df.select("series_id", "i", "ts", "close", "ret", *names).join(scored, ["series_id", "i"], "left")
-    out = segments.from_changes(thresholds.two_pass(out, start=c.start))
-    out = thresholds.forced_split(out)
+    out = segments.from_changes(thresholds.two_pass(settled(out), start=c.start))
+    out = settled(thresholds.forced_split(out))
     out = clustering.cluster_regimes(out, names, c.regimes).withColumn("regime", F.col("cluster")).drop("cluster")
     out = out.withColumn("threshold", F.percentile("score", 0.88).over(whole()))
     out = labels.threshold_confidence(out).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))

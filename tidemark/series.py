@@ -6,7 +6,7 @@ partitioned by series_id and ordered by i, so one ordering serves a whole plan.
 
 from __future__ import annotations
 
-from functools import reduce
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -103,5 +103,10 @@ def events_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ordinal(e.groupBy("series_id", "ts").agg(F.avg("value").alias("close"), F.count("*").alias("volume")))
 
 
-def first_of(*columns: Column) -> Column:
-    return reduce(lambda a, b: F.coalesce(a, b), columns)
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in ``spark.checkpoint.dir`` (a local folder where that is unset, as in tests): for what a plan
+    uses several times, as fits and self-joins do."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
