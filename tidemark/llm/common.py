@@ -48,13 +48,18 @@ def ascii_lower(c: Column) -> Column:
 
 
 
-#: Tables of at most so many rows (of under 100 bytes) are sent to all tasks; larger ones are joined by a shuffle.
-SMALL = 200_000
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, which must be staged, marked for broadcasting if it has at most ``SMALL`` rows."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+#: Tables of at most so many rows (of under 100 bytes), or so many elements of 16 bytes in their lists, are sent to all tasks;
+#: larger ones are joined by a shuffle. Either is 20 MB at most.
+SMALL, ELEMENTS = 200_000, 1_000_000
+
+
+def sized(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """``df``, which must be staged, marked for broadcasting if it is small by its rows and by the elements of its column ``lists``."""
+    if df.limit(SMALL + 1).count() > SMALL:
+        return df
+    if lists and (df.agg(F.sum(F.size(lists))).first()[0] or 0) > ELEMENTS:
+        return df
+    return F.broadcast(df)
 
 
 def release() -> None:

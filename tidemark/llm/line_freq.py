@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, stage
+from .common import sized, stage
 
 def _trim(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\x0b\f"))
@@ -35,9 +35,7 @@ def boilerplate(docs: DataFrame, *, host: str = "source", text: str = "text", ra
 def cleaned(docs: DataFrame, *, host: str = "source", text: str = "text", ratio: float = 0.02, least: int = 5, share: float = 0.5) -> DataFrame:
     """``docs`` with ``text`` rewritten, and beside its columns ``_dropped``: how many lines went. No row is removed."""
     heavy = boilerplate(docs, host=host, text=text, ratio=ratio, least=least).withColumnsRenamed({"host": "_host", "lines": "_heavy"})
-    heavy = stage(heavy, "boilerplate")
-    if heavy.agg(F.coalesce(F.sum(F.size("_heavy")), F.lit(0))).first()[0] <= SMALL:  # 8 bytes each; beyond that the pages are shuffled
-        heavy = F.broadcast(heavy)
+    heavy = sized(stage(heavy, "boilerplate"), "_heavy")
     base = docs.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")))
     joined = base.join(heavy, F.col("_key") == F.col("_host"), "left")
     split = F.split(F.col(text), "\n")

@@ -111,7 +111,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFra
     """(unit, shingles binary): the sorted distinct shingle hashes of wanted (unit, doc_id, line), from the documents that hold them."""
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "unit")).alias("lines")).withColumnRenamed("doc_id", "_id")
     by_doc = stage(by_doc, "wanted")
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).join(sized(by_doc), F.col("doc_id") == F.col("_id")).select("text", "lines")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).join(sized(by_doc, "lines"), F.col("doc_id") == F.col("_id")).select("text", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
