@@ -7,14 +7,12 @@ of vectors are computed block against block in numpy, each task holding two bloc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..series import ordered
+from ..series import chunked, ordered
 
 #: Rows of a block.
 BLOCK = 2048
@@ -191,7 +189,5 @@ def window_scores(df: DataFrame, columns: list[str], reference: int, test: int,
         sid = table.column("series_id")[0].as_py() if table.num_rows else None
         return pa.table({"series_id": pa.array([sid] * len(out_i), pa.string()), "i": pa.array(out_i, pa.int32()), "score": pa.array(out_s, pa.float64())})
 
-    from ..series import chunked
-
     found = chunked(base, length, span - 1).groupBy("series_id", "chunk").applyInArrow(run, "series_id string, i int, score double")
     return df.join(found, ["series_id", "i"], "left")
