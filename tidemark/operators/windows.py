@@ -162,16 +162,10 @@ def change_flag(df: DataFrame, label: str, out: str = "transition_flag") -> Data
 def regime_mean(df: DataFrame, regime: str = "regime", ret: str = "ret", *, train: int = 252, refit: int = 21, out: str = "regime_mean") -> DataFrame:
     """Mean return of the row's regime over all rows before the latest refit point (day ``train``, then every ``refit`` rows).
 
-    Running sums by regime are taken once; a refit point's value is the last one before it, looked up within the series."""
-    df = df.withColumn("_fit", F.when(F.col("i") > train, F.lit(train) + F.floor((F.col("i") - train - 1) / refit) * refit))
-    block = F.when(F.col("i") <= train, F.lit(0)).otherwise(F.floor((F.col("i") - train - 1) / refit) + 1)
-    sums = df.withColumn("_block", block).groupBy("series_id", F.col(regime).alias("_regime"), "_block").agg(F.sum(ret).alias("s"), F.count(ret).alias("n"))
-    marks = df.select("series_id", block.alias("_block")).distinct()
-    grid = marks.join(df.select("series_id", F.col(regime).alias("_regime")).distinct(), "series_id").join(sums, ["series_id", "_regime", "_block"], "left")
-    w = Window.partitionBy("series_id", "_regime").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    past = grid.select(F.col("series_id").alias("_s"), F.col("_regime").alias("_r"), F.col("_block").alias("_past"), (F.sum("s").over(w) / F.expr("nullif(sum(n) over (partition by series_id, _regime order by _block rows between unbounded preceding and 1 preceding), 0)")).alias(out))
-    joined = df.withColumn("_at", block).join(past, (F.col("series_id") == F.col("_s")) & (F.col(regime) == F.col("_r")) & (F.col("_at") == F.col("_past")), "left")
-    return joined.select(*[c for c in df.columns if c != "_fit"], F.when(F.col("_fit").isNotNull(), F.col(out)).alias(out))
+    A range frame over the number of the refit point ends before the present one, so one sort by (series, regime) does."""
+    df = df.withColumn("_at", F.when(F.col("i") <= train, F.lit(0)).otherwise(F.floor((F.col("i") - train - 1) / refit) + 1).cast("long"))
+    past = Window.partitionBy("series_id", regime).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.when(F.col("_at") > 0, F.avg(ret).over(past))).drop("_at")
 
 
 def market_proxies(df: DataFrame, *, price: str = "close", vix: str | None = None) -> DataFrame:
