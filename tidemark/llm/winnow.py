@@ -11,6 +11,8 @@ judged one by one; columns beside the id and the text are ignored.
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +96,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     documents' fingerprints are never gathered; the one shuffle brings the few hits of a document together."""
     prints = item_prints(items, item_id, item_text, span, k)
     prints = stage(prints, "prints")
-    keys = [tuple(r) for r in prints.select("kind", "h").distinct().orderBy("kind", "h").toLocalIterator()]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w")).withColumn("g", _gram("w", k))
-    blocks = [keys[i:i + set_limit] for i in range(0, len(keys), set_limit)] or [[]]
+    keys = (tuple(r) for r in prints.select("kind", "h").distinct().orderBy("kind", "h").toLocalIterator())
     spans = None
-    for block in blocks:
+    block, following = list(islice(keys, set_limit)), list(islice(keys, set_limit))
+    several = bool(following)
+    rows_ = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows_ = stage(rows_, "rows") if several else rows_  # every pass must number the rows alike
+    base = rows_.select("_row", "doc_id", words_of(F.col("text")).alias("w")).withColumn("g", _gram("w", k))
+    while block or spans is None:
         kinds = sorted({kind for kind, _ in block})
         found = [F.coalesce(_matches(n, [h for m, h in block if m == n], span, k), F.array()) for n in kinds]
         rows = base.select("_row", "doc_id", F.size("w").alias("n_words"), (F.concat(*found) if found else F.lit(None).cast(
@@ -109,7 +114,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
             side = side.filter(F.struct("_kind", "_h").between(F.struct(F.lit(block[0][0]), F.lit(block[0][1])), F.struct(F.lit(block[-1][0]), F.lit(block[-1][1]))))
         rows = rows.join(F.broadcast(side), (F.col("kind") == F.col("_kind")) & (F.col("h") == F.col("_h")), "left")
         part = _extended(rows, span, k).select("_row", "doc_id", "n_words", "span", F.when(F.col("span").isNotNull(), F.col("item_id")).alias("item_id"))
+        part = stage(part, "spans") if several else part  # the driver holds two blocks at most, and a plan one
         spans = part if spans is None else spans.unionByName(part)
+        block, following = following, list(islice(keys, set_limit))
     out = spans.groupBy("_row", "doc_id", "n_words").agg(F.collect_set("span").alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     return out.select("doc_id", "n_words", F.sort_array("spans").alias("spans"), "items")
 
