@@ -371,6 +371,29 @@ def test_op10_near_copies(spark):
     assert simhash.representatives(docs.limit(0)).count() == 0
 
 
+def _block_edits() -> list[tuple]:
+    """Pairs 2k, 2k + 1 of 300 words: a replaced block, a cut tail or an added paragraph, at a Jaccard similarity of 0.80 to 0.85."""
+    rows = []
+    for k in range(45):
+        words, other = split(text(3000 + k, 300)), split(text(6000 + k, 80))
+        at, n = 20 + 5 * k, (28, 24, 26)[k // 3 % 3]
+        near = [words[:at] + other[:n] + words[at + n:], words[:241 + k // 3 % 3 * 4], words[:at] + other[:56 + k // 3 % 3 * 4] + words[at:]][k % 3]
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join(near), "a")]
+    return rows
+
+
+@pytest.mark.parametrize("n", [100_000, 30_000_000])
+def test_op10_block_edits_at_any_number_of_rows(spark, monkeypatch, n):
+    rows = _block_edits()
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (split(t) for _, t, _ in rows)]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) == 45 and all(b == a + 1 for a, b in want)
+    planned = simhash.layout
+    monkeypatch.setattr(simhash, "layout", lambda _, similar: planned(n, similar))
+    found = {(r["least"], r["doc_id"]) for r in simhash.near_copies(frame(spark, rows, DOCS)).collect() if r["least"] != r["doc_id"]}
+    assert found <= want and len(found) >= 0.97 * len(want)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5, 5), (None, 3), (7, 8), (7, 8)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "src long, dst long").repartition(7)).collect()}

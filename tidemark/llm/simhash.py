@@ -10,6 +10,7 @@ a shingle are one shingle. Equal fingerprints are handled once, whatever the num
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .collide import SHINGLE, SIMILAR, Words, classes, kept, mix, paired, sequence_hash, sketched, with_both, within
+from .collide import SIMILAR, Words, classes, kept, mix, sequence_hash, sketched, with_both, within
 from .common import map_arrow, sized, stage
 from .graph import components
 
@@ -27,8 +28,12 @@ BUCKET = 64
 _BITS = 4096
 #: Segment buckets of at most so many texts are paired.
 PAIRED = 16
-#: Bits of a segment that are cleared in turn.
-FLIPS = 4
+#: Segment keys of a partition.
+RANGE = 1 << 20
+#: Bits of a wide fingerprint, and hashes that are added up at once.
+WIDE, _ROWS = 2048, 128
+_COLUMNS = np.random.default_rng(3).integers(1, 2**63, WIDE // 8, dtype=np.uint64)
+_LANES, _ODD = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, n: int = 3) -> int:
@@ -115,97 +120,139 @@ def report(docs: DataFrame) -> DataFrame:
     return clusters(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _odds(width: int, differ: float) -> float:
-    """The probability that two segments of so many bits differ in at most one."""
-    return (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+def _missed(width: int, segments: int, differ: float) -> float:
+    """The probability that no segment of ``width`` sampled bits is equal, if each of the WIDE bits differs with ``differ``.
+
+    Segments share bits, so they are independent only for a given number of differing ones; it is summed over that number."""
+    k = np.arange(WIDE + 1)
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, WIDE + 1)))])
+    chance = np.exp(factorial[WIDE] - factorial[k] - factorial[WIDE - k] + k * np.log(differ) + (WIDE - k) * np.log(1 - differ))
+    free = np.maximum(WIDE - k - width, 0)
+    equal = np.where(k + width <= WIDE, np.exp(factorial[WIDE - k] - factorial[free] - factorial[WIDE] + factorial[WIDE - width]), 0)
+    return float((chance * (1 - equal) ** segments).sum())
 
 
 def layout(n: int, similar: float = SIMILAR, recall: float = 0.99) -> tuple[int, int, int]:
     """(width of a segment, number of segments, most differing bits) of wide fingerprints for n texts.
 
-    Two texts whose five-word shingles have the Jaccard similarity s differ in a share e of their words with s = (1 - 5e) /
-    (1 + 5e), and share 1 - 2e of their word pairs; a bit of a SimHash over pairs differs with the probability of that
-    cosine's angle over pi. Segments are wide enough that a text meets a few others by chance, however many there are, and
-    so many that a pair at the similarity meets in one with the wanted probability. The distance allowed for is four
-    standard deviations above the mean at that similarity."""
-    edited = (1 - similar) / (1 + similar) / SHINGLE
-    differ = float(np.arccos(1 - 2 * edited) / np.pi)
+    Sets of the Jaccard similarity s have a cosine of at least 2s / (1 + s), whatever edit made them differ: a block, a cut
+    tail or scattered words. A bit of a SimHash over the five-word shingles differs with the probability of that cosine's
+    angle over pi. Segments are wide enough that a text meets a few others by chance, however many there are, and
+    so many that a pair at the similarity has an equal one with the wanted probability, which is the same for every n. The
+    distance allowed for is four standard deviations above the mean at that similarity."""
+    differ = float(np.arccos(2 * similar / (1 + similar)) / np.pi)
     width = min(60, max(20, int(np.ceil(np.log2(max(2, n)))) + 6))
-    segments = int(np.ceil(np.log(1 - recall) / np.log(1 - _odds(width, differ))))
-    bits = width * segments
-    return width, segments, int(bits * differ + 4 * np.sqrt(bits * differ * (1 - differ)))
-
-
-def wide(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A SimHash of any width over distinct 64-bit hashes, as bits, and how far each bit's count is from flipping."""
-    out = []
-    for j in range(-(-bits // 64)):
-        h = mix(pairs, np.uint64(j + 1))
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), _BITS):
-            ones += np.unpackbits(h[i:i + _BITS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(ones * 2 - len(h))
-    margin = np.concatenate(out)[:bits]
-    return margin > 0, np.abs(margin)
-
-
-def _wide_prints(docs: DataFrame, doc_id: str, text: str, width: int, segments: int) -> DataFrame:
-    """(doc_id, unit: hash of the word sequence, bits binary, keys array<long>: segments, plain and with one bit cleared).
-
-    Of two segments that differ in one bit, one has it set and meets the other by clearing it. A bit differs between near copies
-    because its count is close to half; only the FLIPS set bits of a segment that are closest are cleared."""
+    low, segments = 0, 1
+    while _missed(width, segments, differ) > 1 - recall:
+        low, segments = segments, segments * 2
+    while segments - low > 1:
+        middle = (low + segments) // 2
+        low, segments = (low, middle) if _missed(width, middle, differ) <= 1 - recall else (middle, segments)
+    return width, segments, int(WIDE * differ + 4 * np.sqrt(WIDE * differ * (1 - differ)))
+
+
+def wide(shingles: np.ndarray) -> np.ndarray:
+    """A SimHash of WIDE bits over distinct 64-bit hashes. A hash weighs in each bit with a byte of its own rather than a
+    sign, so few hashes make no ties."""
+    total = np.zeros((2, WIDE // 2), np.int64)
+    own = shingles * _ODD
+    for i in range(0, len(shingles), _ROWS):
+        h = mix(mix(own[i:i + _ROWS], np.uint64(1))[:, None], _COLUMNS)
+        for j in range(2):  # the bytes of a half are added up in 16 bits each
+            total[j] += ((h >> np.uint64(8 * j)) & _LANES).sum(0, dtype=np.uint64).view(np.uint16)
+    return (total * 2 > 255 * len(shingles)).reshape(-1)
+
+
+def _wide_prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, unit: hash of the word sequence, bits binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.uint64(1) << np.arange(width, dtype=np.uint64)
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 b = whole.slice(begin, 500)
                 words = Words([t or b"" for t in b.column(1).to_pylist()])
                 first = np.array(words.first)
                 n = np.diff(first)
-                prints, keys = [], []
                 with np.errstate(over="ignore"):
                     units = sequence_hash(words.key, first[:-1], n)
-                    two = paired(words.key, 1)
-                    for k in range(b.num_rows):
-                        a, z = first[k], first[k + 1]
-                        bits, margin = wide(np.unique(two[a:z - 1] if z - a > 1 else words.key[a:z]), width * segments)
-                        table = bits.reshape(segments, width)
-                        value = (table * weights).sum(1, dtype=np.uint64)
-                        bit = np.argsort(np.where(table, margin.reshape(segments, width), 1 << 40), axis=1, kind="stable")[:, :FLIPS]
-                        seg = np.repeat(np.arange(segments), FLIPS)
-                        bit = bit.reshape(-1)
-                        set_ = table[seg, bit]
-                        seg, bit = seg[set_], bit[set_]
-                        at = np.concatenate([np.arange(segments), seg])
-                        keys.append(mix(np.concatenate([value, value[seg] ^ weights[bit]]), at.astype(np.uint64) + np.uint64(1)).view(np.int64))
-                        prints.append(np.packbits(bits).tobytes())
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))) if keys else pa.array([], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units.view(np.int64)), pa.array(prints, pa.binary()), lists], ["doc_id", "unit", "bits", "keys"])
+                    h = words.shingles()
+                    prints = [np.packbits(wide(words.shingle_set(h, a, k))).tobytes() for a, k in zip(first[:-1].tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units.view(np.int64)), pa.array(prints, pa.binary())], ["doc_id", "unit", "bits"])
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return map_arrow(base, run, "doc_id long, unit long, bits binary, keys array<long>")
+    return map_arrow(base, run, "doc_id long, unit long, bits binary")
+
+
+@lru_cache(maxsize=2)
+def _drawn(width: int, segments: int) -> np.ndarray:
+    return np.random.default_rng(7).random((segments, WIDE)).argpartition(width, axis=1)[:, :width].T.copy()
+
+
+def segment_keys(bits: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """Per row of bits, a key of each segment: ``width`` bits drawn at random, the same for all rows."""
+    value = np.zeros((len(bits), segments), np.uint64)
+    for at in _drawn(width, segments):
+        value = value << np.uint64(1) | bits[:, at]
+    return mix(value, np.arange(1, segments + 1, dtype=np.uint64))
+
+
+def _keyed(units: DataFrame, width: int, segments: int) -> DataFrame:
+    """(key, unit): a row for each segment of (unit, bits)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                b = whole.slice(begin, 500)
+                bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    keys = segment_keys(bits, width, segments).reshape(-1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), segments))], ["key", "unit"])
+
+    return map_arrow(units.select("unit", "bits"), run, "key long, unit long")
+
+
+def _met(keyed: DataFrame, rows: int) -> DataFrame:
+    """(a, b): the pairs of units that share a key of at most PAIRED units, and (unit, null) for those under larger keys.
+
+    ``rows`` is the number of rows at most; partitions hold RANGE of them, so sorting takes little memory."""
+    def met(key: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        size = count[inverse]
+        crowd = unit[size > PAIRED]
+        a, b = [], []
+        for step in range(1, PAIRED):
+            at = np.nonzero((key[step:] == key[:-step]) & (size[step:] <= PAIRED))[0]
+            a.append(np.minimum(unit[at], unit[at + step]))
+            b.append(np.maximum(unit[at], unit[at + step]))
+        b = pa.concat_arrays([pa.array(np.concatenate(b)), pa.nulls(len(crowd), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, crowd])), b], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = unit = np.empty(0, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                key, unit = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([unit, batch.column(1).to_numpy()])
+                whole = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
+                yield met(key[:whole], unit[:whole])
+                key, unit = key[whole:], unit[whole:]
+        yield met(key, unit)
+
+    return map_arrow(keyed.repartition(max(1, -(-rows // RANGE)), "key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class, least): groups of texts with a five-word-shingle Jaccard similarity of ``similar`` or more, over links.
 
-    Multi-index hashing over wide fingerprints: texts that agree in a segment up to one bit meet, their complete distance
-    is verified, and what is left is verified by the exact similarity. Buckets of over PAIRED texts, which are groups of
+    Multi-index hashing over wide fingerprints: texts that agree in a segment meet, their complete distance is verified, and
+    what is left is verified by the exact similarity. Buckets of over PAIRED texts, which are groups of
     variants, are not paired: their texts are looked up by finer MinHash bands, and verified as exactly. Texts of equal
     word sequences are one unit from the start. least is the smallest doc_id of the group. Texts without words are copies of each other."""
     docs_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    width, segments, most = layout(docs_.count(), similar)
-    wide_prints = stage(_wide_prints(docs_, "doc_id", "text", width, segments), "wide")
+    n = docs_.count()
+    width, segments, most = layout(n, similar)
+    wide_prints = stage(_wide_prints(docs_, "doc_id", "text"), "wide")
     units = stage(wide_prints.groupBy("unit").agg(F.min("doc_id").alias("at"), F.min("bits").alias("bits")), "units")
-    first = wide_prints.join(units.select(F.col("unit").alias("_unit"), F.col("at").alias("_at")), (F.col("unit") == F.col("_unit")) & F.col("doc_id").eqNullSafe(F.col("_at")), "left_semi")
-    keyed = first.select("unit", F.explode("keys").alias("key")).distinct()
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("key", "_key")
-    buckets = stage(keyed.join(sizes, F.col("key") == F.col("_key")).select("key", "unit", "size"), "segments")
-    small = buckets.filter(F.col("size") <= PAIRED).groupBy("key").agg(F.sort_array(F.collect_list("unit")).alias("of"))
-    pairs = small.select("of", F.posexplode("of").alias("p", "a")).select("a", F.explode(F.slice("of", F.col("p") + 2, F.lit(PAIRED))).alias("b")).distinct()
-    near = stage(kept(with_both(pairs, units, "bits"), within(most)), "near")
-    wanted = near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).unionByName(buckets.filter(F.col("size") > PAIRED).select(F.col("unit").alias("u"))).distinct()
+    met = stage(_met(_keyed(units, width, segments), n * segments), "met")
+    near = stage(kept(with_both(met.filter("b is not null"), units, "bits"), within(most)), "near")
+    wanted = near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).unionByName(met.filter("b is null").select(F.col("a").alias("u"))).distinct()
     found = classes(stage(sketched(_sets(docs_, units, wanted)), "sets"), similar, near)
     base = wide_prints.select("doc_id", "unit")
     if found is None:
