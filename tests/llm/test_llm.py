@@ -394,6 +394,19 @@ def test_op10_block_edits_at_any_number_of_rows(spark, monkeypatch, n):
     assert found <= want and len(found) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("n", [100_000, 30_000_000])
+def test_op10_segments_reach_the_recall_they_are_counted_for(n):
+    rng = np.random.default_rng(4)
+    width, segments, most = simhash.layout(n)
+    sets = rng.integers(0, 2**63, (200, 297), dtype=np.uint64)
+    near = sets.copy()
+    near[:, :33] = rng.integers(0, 2**63, (200, 33), dtype=np.uint64)  # a replaced block: 264 of 330 in common
+    with np.errstate(over="ignore"):
+        a, b = (np.array([simhash.wide(x) for x in y]) for y in (sets, near))
+        met = (simhash.segment_keys(a.astype(np.uint64), width, segments) == simhash.segment_keys(b.astype(np.uint64), width, segments)).any(1)
+    assert met.mean() >= 0.97 and ((a != b).sum(1) <= most).all()
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5, 5), (None, 3), (7, 8), (7, 8)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "src long, dst long").repartition(7)).collect()}
