@@ -210,6 +210,15 @@ def test_op5_wrapper_and_place_without_article(spark):
     assert all("x" != got[i].split()[0] for i in got) and got[1].startswith(" ".join(text(1, 30).split())[:40])
 
 
+def test_op5_template_text_is_told_from_data(spark):
+    body = "<article><p class='x'>{}</p><h2>Read this first</h2><ul><li>Same</li><li>On every page</li></ul><p>{}</p></article>"
+    rows = [(i, "http://h.example.com/", page(body.format(text(i, 30), text(i + 50, 30)))) for i in range(6)]
+    rows += [(10 + i, "http://k.example.com/", page(body.format("one", "copy"))) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in wrappers.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join((text(i, 30) + " " + text(i + 50, 30)).split()) for i in range(6))
+    assert all(got[10 + i] == "one Read this first Same On every page copy" for i in range(4))
+
+
 # ---- 6 decontamination ---------------------------------------------------------------------------------------------
 def _items():
     long = split(text(1, 150))

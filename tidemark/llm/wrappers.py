@@ -2,13 +2,13 @@
 
 A page is read into a tree of labelled blocks and text slots; inline markup is part of a slot. Runs of equal siblings
 become a repeated group. The trees of a host are aligned one after the other: what both hold is aligned further, what one
-lacks becomes optional, what then stands beside its like is folded into the repeated group, and differing texts are
-slots. The result is the host's wrapper, an expression of sequences, optional and repeated groups without alternatives.
-The wrapper tells where a host keeps its main text: its article or main element, or else the deepest element that holds
-most of the text outside menus and the like on all its pages. A page is then matched against that place.
+lacks becomes optional, what then stands beside its like is folded into the repeated group. Texts that are equal on all
+pages are template, differing ones are slots. The result is the host's wrapper, an expression of sequences, optional and
+repeated groups without alternatives. Its main text is the deepest element that holds most of the slots' characters; tags are a
+check on that. A page is then walked along the wrapper, and what fills the slots of the main text is its text.
 
-Equal trees of a host are one tree with a count, made before the shuffle, and a host's trees are aligned in portions whose
-wrappers are aligned in turn, so a host with a third of all pages loads no task. Null html is empty and gives an
+Pages of one shape and host are one tree with their texts' states, made before the shuffle, and a host's trees are aligned in
+portions whose wrappers are aligned in turn, so a host with a third of all pages loads no task. Null html is empty and gives an
 empty text; a null url is a host of its own. Broken or cut-off markup is read as far as it goes.
 """
 
@@ -17,11 +17,11 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +44,8 @@ _MAIN = ("article", "main")
 _WORD = re.compile(r"[a-z]+")
 #: Portions of a host's trees; a share of the text that makes an element the main one.
 PORTIONS, SHARE = 16, 0.6
+#: Different pages that must bear a text, and none another one in its place, before it is template.
+PAGES = 3
 
 
 class Block:
@@ -74,8 +76,9 @@ def parse(page: str) -> tuple[Block, list[tuple[Block, str]]]:
             parts.clear()
             if text:
                 texts.append((stack[-1], text))
-                if not stack[-1].children or stack[-1].children[-1] != "#":
-                    stack[-1].children.append("#")
+                if not stack[-1].children or not isinstance(stack[-1].children[-1], list):
+                    stack[-1].children.append([])
+                stack[-1].children[-1].append(len(texts) - 1)
 
     for m in _TOKEN.finditer(page):
         if m["text"]:
@@ -123,9 +126,39 @@ def _marks(attrs: str) -> frozenset:
     return frozenset(found)
 
 
-# An expression's node is [label, children, optional, repeated]; "#" is a text slot.
+# An expression's node is [label, children, optional, repeated, load]; "#" is a text. A text's load is the list of its places in a
+# page's texts, or over pages its state [least digest, greatest digest, up to PAGES pages, characters outside menus and the like].
 def expression(block: Block) -> list:
-    return [block.label, folded([["#", [], 0, 0] if c == "#" else expression(c) for c in block.children]), 0, 0]
+    return [block.label, folded([["#", [], 0, 0, c] if isinstance(c, list) else expression(c) for c in block.children]), 0, 0, None]
+
+
+def leaves(node: list) -> Iterator[list]:
+    if node[0] == "#":
+        yield node
+    for c in node[1]:
+        yield from leaves(c)
+
+
+def shape(node: list) -> list:
+    return [node[0], [shape(c) for c in node[1]], node[2], node[3], None]
+
+
+def state(texts: list[tuple[Block, str]], at: list[int], page: int) -> list:
+    digest = xxhash.xxh64_intdigest("\0".join(texts[i][1] for i in at)) >> 1
+    return [digest, digest, [page], sum(len(texts[i][1]) for i in at if not texts[i][0].dropped)]
+
+
+def _both(a: list | None, b: list | None) -> list | None:
+    if a is None or b is None:
+        return a or b
+    if len(a) == 4 and isinstance(a[2], list):
+        return [min(a[0], b[0]), max(a[1], b[1]), sorted({*a[2], *b[2]})[:PAGES], a[3] + b[3]]
+    return a + b
+
+
+def template(load: list) -> bool:
+    """Whether a text is equal on all pages that have it, PAGES different ones at least; otherwise it is a slot."""
+    return load[0] == load[1] and len(load[2]) == PAGES
 
 
 def folded(nodes: list) -> list:
@@ -144,26 +177,26 @@ def folded(nodes: list) -> list:
                 out.append(nodes[i])
                 i += 1
             else:
-                out.append([group[0][0], group[0][1], group[0][2], 1] if size == 1 else ["()", group, 0, 1])
+                out.append([*group[0][:3], 1, group[0][4]] if size == 1 else ["()", group, 0, 1, None])
                 i += n * size
         nodes = out
     return nodes
 
 
 def _merged(a: list, b: list) -> list:
-    return [a[0], aligned(a[1], b[1]), a[2] | b[2], a[3] | b[3]]
+    return [a[0], aligned(a[1], b[1]), a[2] | b[2], a[3] | b[3], _both(a[4], b[4])]
 
 
 def aligned(a: list, b: list) -> list:
     """One expression for both sequences: common nodes are aligned further, others become optional."""
-    if a == b:
-        return a
+    if [n[0] for n in a] == [n[0] for n in b]:
+        return [_merged(x, y) for x, y in zip(a, b)]
     out: list = []
     for op, i, j, k, m in SequenceMatcher(None, [n[0] for n in a], [n[0] for n in b], autojunk=False).get_opcodes():
         if op == "equal":
             out += [_merged(x, y) for x, y in zip(a[i:j], b[k:m])]
         else:
-            out += [[n[0], n[1], 1, n[3]] for n in a[i:j] + b[k:m]]
+            out += [[n[0], n[1], 1, n[3], n[4]] for n in a[i:j] + b[k:m]]
     return folded(out)
 
 
@@ -180,84 +213,144 @@ def shown(node: list) -> str:
     return body
 
 
-def _has_main(node: list) -> bool:
-    return node[0].split(".")[0] in _MAIN and not set(node[0].split(".")[1:]) & _MARKS or any(map(_has_main, node[1]))
+def _is_main(node: list) -> bool:
+    return node[0].split(".")[0] in _MAIN and not set(node[0].split(".")[1:]) & _MARKS
 
 
-def _place(masses: dict[str, int]) -> str:
-    """The deepest path that holds most of the text, by the paths of the texts' blocks."""
-    total, best = sum(masses.values()), ""
-    under: Counter = Counter()
-    for path, n in masses.items():
-        steps = path.split("/")
-        for i in range(1, len(steps)):  # a text's own block is no container
-            under["/".join(steps[:i])] += n
-    for path, n in under.items():
-        if n >= SHARE * total and path.count("/") > best.count("/"):
-            best = path
-    return best
+def place_of(tree: list) -> tuple[str, list[list]]:
+    """(place, [in main text, template] of each text) of a wrapper.
+
+    The place is the deepest element with most of the characters in slots. Then tags are looked at: where article or main
+    elements hold as much, they are the place, ``*``."""
+    every = [n for n in leaves(tree) if n[4][3]]
+    slots = [n for n in every if not template(n[4])] or every
+    counted = {id(n) for n in slots}
+
+    def mass(node: list) -> int:
+        return sum(n[4][3] for n in leaves(node) if id(n) in counted)
+
+    def tagged(node: list) -> Iterator[list]:
+        if _is_main(node):
+            yield node
+        else:
+            for c in node[1]:
+                yield from tagged(c)
+
+    least = SHARE * mass(tree)
+    main = list(tagged(tree))
+    if main and sum(map(mass, main)) >= least:
+        place = "*"
+    else:
+        place, node = "", tree
+        while least and (down := [c for c in node[1] if c[0] not in ("#", "()") and any(x[0] != "#" for x in c[1]) and mass(c) >= least]):
+            node = down[0]
+            place += "/" + node[0]
+        main = [node]
+    inside = {id(n) for m in main for n in leaves(m)}
+    return place, [[int(id(n) in inside), int(template(n[4]))] for n in leaves(tree)]
+
+
+def matched(page: list, wrapper: list, found: dict[int, list]) -> None:
+    """Walk a page's expression along the wrapper: for each text's place in the page, the wrapper's text that it fills."""
+    if page[0] == "#":
+        for i in page[4]:
+            found[i] = wrapper[4]
+        return
+    a, b = page[1], wrapper[1]
+    groups = {n[0] for n in a}
+    b = [x for n in b for x in (n[1] if n[0] == "()" and "()" not in groups else [n])]
+    groups = {n[0] for n in b}
+    a = [x for n in a for x in (n[1] if n[0] == "()" and "()" not in groups else [n])]
+    for i, j, n in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_matching_blocks():
+        for k in range(n):
+            matched(a[i + k], b[j + k], found)
+
+
+def _loaded(what: str, load: list) -> list:
+    """The tree of a shape with its texts' loads, in order."""
+    tree = json.loads(what)
+    for n, x in zip(leaves(tree), load):
+        n[4] = x
+    return tree
 
 
 def wrappers(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, place): place is ``*`` where the wrapper has an article or main element, else a path."""
+    """(host, wrapper, place, tree, slots): place is ``*`` where the main text is in article or main elements, else a path; slots
+    tells of each text of the tree whether it is in the main text's place and whether it is template."""
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: Counter = Counter()
+            seen: dict = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1)):
                 root, texts = parse(page.as_py() or "")
-                seen[host, "tree", json.dumps(expression(root))] += 1
-                for block, text in texts:
-                    if not block.dropped:
-                        seen[host, "text", block.path.lstrip("*")] += len(text)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.string()) for i in range(3)] + [pa.array(list(seen.values()), pa.int64())], ["host", "kind", "what", "n"])
-
-    found = map_arrow(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")), trees, "host string, kind string, what string, n long")
-    found = found.groupBy("host", "kind", "what").agg(F.sum("n").alias("n"))
+                tree = expression(root)
+                digest = xxhash.xxh64_intdigest("\0".join(t for _, t in texts)) >> 1
+                load = [state(texts, n[4], digest) for n in leaves(tree)]
+                old = seen.setdefault((host, json.dumps(shape(tree))), [0, load])
+                old[:] = [old[0] + 1, load if not old[0] else list(map(_both, old[1], load))]
+            yield table([(host, what, n, load) for (host, what), (n, load) in seen.items()])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([json.dumps(r[3]) for r in rows], pa.string())], ["host", "what", "n", "load"])
+
+    def whole(group: pa.Table) -> tuple[str, list, int]:
+        shapes: dict = {}
+        for host, what, n, load in zip(*(group.column(c).to_pylist() for c in ("host", "what", "n", "load"))):
+            load = json.loads(load)
+            old = shapes.get(what)
+            shapes[what] = (n, load) if old is None else (old[0] + n, list(map(_both, old[1], load)))
+        tree = None
+        for what, (_, load) in sorted(shapes.items(), key=lambda x: (-x[1][0], x[0])):
+            tree = _loaded(what, load) if tree is None else _merged(tree, _loaded(what, load))
+        return host, tree, sum(n for n, _ in shapes.values())
 
     def one(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (-r["n"], r["what"]))
-        whole = None
-        for r in rows:
-            if r["kind"] == "tree":
-                tree = json.loads(r["what"])
-                whole = tree if whole is None else _merged(whole, tree)
-        out = [(r["host"], r["kind"], r["what"], r["n"]) for r in rows if r["kind"] == "text"]
-        if whole:
-            out.append((rows[0]["host"], "tree", json.dumps(whole), sum(r["n"] for r in rows if r["kind"] == "tree")))
-        cols = list(zip(*out))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["host", "kind", "what", "n"])
+        host, tree, n = whole(group)
+        return pa.Table.from_batches([table([(host, json.dumps(shape(tree)), n, [x[4] for x in leaves(tree)])])])
 
     def decided(group: pa.Table) -> pa.Table:
-        rows = one(group).to_pylist()
-        tree = next((json.loads(r["what"]) for r in rows if r["kind"] == "tree"), ["", [], 0, 0])
-        place = "*" if _has_main(tree) else _place({r["what"]: r["n"] for r in rows if r["kind"] == "text"})
-        return pa.table({"host": pa.array([rows[0]["host"]]), "wrapper": pa.array([" ".join(map(shown, tree[1]))]), "place": pa.array([place])})
+        host, tree, _ = whole(group)
+        place, slots = place_of(tree)
+        return pa.table({"host": pa.array([host]), "wrapper": pa.array([" ".join(map(shown, tree[1]))]), "place": pa.array([place]), "tree": pa.array([json.dumps(shape(tree))]), "slots": pa.array([json.dumps(slots)])})
 
+    found = map_arrow(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")), trees, "host string, what string, n long, load string")
     portion = F.pmod(F.xxhash64("what"), F.lit(PORTIONS))
-    part = found.withColumn("portion", portion).groupBy("host", "portion").applyInArrow(one, "host string, kind string, what string, n long")
-    return part.groupBy("host").applyInArrow(decided, "host string, wrapper string, place string")
+    part = found.withColumn("portion", portion).groupBy("host", "portion").applyInArrow(one, "host string, what string, n long, load string")
+    return part.groupBy("host").applyInArrow(decided, "host string, wrapper string, place string, tree string, slots string")
+
+
+def main_text(page: str, wrapper: list, place: str) -> str:
+    """The page's texts that fill the wrapper's slots of main text, joined by a space.
+
+    What the wrapper has no place for is looked up by its path. Texts in menus and the like are left out; a page whose main
+    text is template throughout, a copy, keeps it."""
+    root, texts = parse(page)
+    fills: dict[int, list] = {}
+    matched(expression(root), wrapper, fills)
+    kept = [i for i, (b, _) in enumerate(texts) if not b.dropped]
 
+    def by_path(b: Block) -> bool:
+        return b.path[0:1] == "*" if place == "*" else (b.path + "/").startswith(place + "/")
 
-def main_text(page: str, place: str) -> str:
-    """The page's blocks of main text, joined by a space."""
-    _, texts = parse(page)
-    kept = [(b, t) for b, t in texts if not b.dropped]
-    inside = [t for b, t in kept if b.path[0:1] == "*"]
-    if not inside and place not in ("", "*"):
-        inside = [t for b, t in kept if b.path == place or b.path.startswith(place + "/")]
-    return " ".join(inside or [t for _, t in kept])
+    main = [i for i in kept if (fills[i][0] if i in fills else by_path(texts[i][0]))]
+    chosen = [i for i in main if i not in fills or not fills[i][1]] or main or [i for i in kept if texts[i][0].path[0:1] == "*"] or kept
+    return " ".join(texts[i][1] for i in chosen)
 
 
 def extracted(pages: DataFrame, found: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text): every page read by its host's wrapper."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(page.as_py() or "", place or "") for page, place in zip(b.column(2), b.column(3).to_pylist())]
+            trees: dict = {}
+            texts = []
+            for page, place, tree, slots in zip(b.column(2), *(b.column(i).to_pylist() for i in (3, 4, 5))):
+                if (tree, slots) not in trees:
+                    trees[tree, slots] = _loaded(tree, json.loads(slots))
+                texts.append(main_text(page.as_py() or "", trees[tree, slots], place))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("_at"))
-    places = found.select(F.col("host").alias("_host"), "place")
-    joined = base.join(places, F.col("_at") == F.col("_host"), "left").select("page_id", "url", "html", "place")
+    places = found.select(F.col("host").alias("_host"), "place", "tree", "slots")
+    joined = base.join(places, F.col("_at") == F.col("_host"), "left").select("page_id", "url", "html", "place", "tree", "slots")
     return map_arrow(joined, run, "page_id long, url string, text string")
 
 
