@@ -314,3 +314,12 @@ def test_contract_accepts_and_refuses(spark):
         contract.validate(_output(spark).drop("confidence"))
     assert contract.metadata_problems({**meta, "algorithm": "Bad Name"}) == ["algorithm name"]
     assert contract.metadata_problems(meta, {0, 1}) and contract.metadata_problems({})
+
+
+def test_kmeans_takes_the_restarts_and_iterations_of_the_reference(spark, monkeypatch):
+    made = []
+    fit = clustering.KMeans
+    monkeypatch.setattr(clustering, "KMeans", lambda **options: made.append(options) or fit(**options))
+    df = spark.createDataFrame([("a", i, float(i % 7), float(i % 5)) for i in range(40)], "series_id string, i int, x double, y double")
+    assert clustering.kmeans(df, ["x", "y"], 3).count() == 40
+    assert len({m["seed"] for m in made}) == 10 and {m["maxIter"] for m in made} == {500}

@@ -33,14 +33,14 @@ def tercile_regimes(df: DataFrame, *, ret: str = "ret", n: int = 20, bins: int =
     return df.withColumn("confidence", F.when(spread > 0, F.least(F.lit(1.0), 0.5 + gap / F.when(spread > 0, spread))).otherwise(0.5)).drop("_cuts")
 
 
-def kmeans(df: DataFrame, columns: list[str], k: int = 3, *, scale: bool = True, seed: int = 42, tries: int = 3, out: str = "regime") -> DataFrame:
+def kmeans(df: DataFrame, columns: list[str], k: int = 3, *, scale: bool = True, seed: int = 42, tries: int = 10, out: str = "regime") -> DataFrame:
     """The best of ``tries`` k-means fits over rows with every column known; clusters numbered by the first column's mean, and
     ``d_own`` and ``d_other``: distances to the own and the nearest other centre. Rows with a null column get none."""
     known = df.dropna(subset=columns)
     scaled = standardized(known.withColumns({f"_f_{c}": F.col(c).cast("double") for c in columns}), [f"_f_{c}" for c in columns]) if scale else known.withColumns({f"_f_{c}": F.col(c).cast("double") for c in columns})
     scaled = settled(scaled)
     vectors = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_v").transform(scaled)
-    fits = [KMeans(k=k, seed=seed + t, featuresCol="_v", maxIter=40).fit(vectors) for t in range(tries)]
+    fits = [KMeans(k=k, seed=seed + t, featuresCol="_v", maxIter=500).fit(vectors) for t in range(tries)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     centres = sorted((list(map(float, c)) for c in best.clusterCenters()))
     return assigned(scaled, [f"_f_{c}" for c in columns], centres, out).drop("_v", *[f"_f_{c}" for c in columns])
@@ -61,7 +61,7 @@ def cluster_regimes(df: DataFrame, columns: list[str], k: int = 3, *, regime: st
     few = F.count("*").over(whole()) <= k
     means = settled(means).withColumn("_few", few).withColumn("_rank", F.row_number().over(Window.partitionBy("series_id").orderBy("_regime")) - 1)
     if means.select("_few").distinct().filter("not _few").limit(1).count():
-        fitted = kmeans(means, [f"_m_{c}" for c in columns], k, seed=seed, tries=2, out="_cluster").select("series_id", "_regime", F.when(F.col("_few"), F.col("_rank")).otherwise(F.col("_cluster")).alias("_cluster"))
+        fitted = kmeans(means, [f"_m_{c}" for c in columns], k, seed=seed, out="_cluster").select("series_id", "_regime", F.when(F.col("_few"), F.col("_rank")).otherwise(F.col("_cluster")).alias("_cluster"))
     else:
         fitted = means.select("series_id", "_regime", F.col("_rank").alias("_cluster"))
     fitted = fitted.withColumnRenamed("series_id", "_s")

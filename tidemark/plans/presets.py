@@ -121,7 +121,7 @@ def segment_kmeans(df: DataFrame, config: SegmentKmeans = SegmentKmeans()) -> Da
     changed = thresholds.ladder_mad(ranked).filter("is_change").select("series_id", (F.col("at") - 1).alias("cp"))
     days = settled(segments.numbered(segments.from_change_days(df, changed, out="_run"), "_run"))
     stats = segments.segment_stats(days.withColumn("regime", F.col("seg"))).withColumn("vol", F.coalesce("vol", F.lit(0.0))).withColumn("sharpe", F.col("mean_ret") / (F.col("vol") + 1e-12)).withColumn("i", F.col("seg"))
-    fitted = clustering.kmeans(stats, ["mean_ret", "vol", "sharpe", "max_dd"], c.regimes, tries=3, out="regime").select("series_id", "seg", F.col("regime").alias("_c"), "d_own", "d_other")
+    fitted = clustering.kmeans(stats, ["mean_ret", "vol", "sharpe", "max_dd"], c.regimes, out="regime").select("series_id", "seg", F.col("regime").alias("_c"), "d_own", "d_other")
     out = days.drop("regime").join(fitted, ["series_id", "seg"], "left").withColumn("regime", F.coalesce("_c", F.lit(0)))
     out = labels.ratio_confidence(out, "d_own", "d_other").drop("_run", "_c", "d_own", "d_other")
     return _named(_finish(out), labels.name_by_return)

@@ -598,7 +598,7 @@ def evaluator_report(s, d):
 @register()
 def kmeans_features(s, d):
     df = evaluate.separability_features(segment_px(s, d))
-    return tidy(clustering.kmeans(df, ["ret_20", "vol_20"], 3), "series_id", "i", "regime", d_own="d_own", d_other="d_other")
+    return tidy(clustering.kmeans(df, ["ret_20", "vol_20"], 3, tries=20), "series_id", "i", "regime", d_own="d_own", d_other="d_other")
 
 
 @register()
