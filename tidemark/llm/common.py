@@ -15,12 +15,21 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time, where the session leaves Spark's default (64 MB) in force.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what was given to ``setCheckpointDir``.
+
+    Where neither is set, a local session (tests) gets a new folder; on a cluster it raises, as a local folder would be another
+    one on each machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -46,8 +55,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-
-
 #: Tables of at most so many rows (of under 100 bytes), or so many elements of 16 bytes in their lists, are sent to all tasks;
 #: larger ones are joined by a shuffle. Either is 20 MB at most.
 SMALL, ELEMENTS = 200_000, 1_000_000
@@ -71,6 +78,13 @@ def release() -> None:
         pass
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the bytes of a batch for Python workers, unless the session has set a bound of its own: batches of long texts
+    are what takes memory on both sides, and smaller ones cost no measurable time."""
+    if spark.conf.get(_BATCH, None) in (None, _BATCH_DEFAULT):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow whose workers give their memory back after each task."""
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,4 +93,5 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         finally:
             release()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(tidy, schema)
