@@ -5,9 +5,11 @@ the training quantile that it falls in. The machine adds to the linear terms eve
 product of two low-rank vectors; by the sum-of-squares identity that costs time linear in the number of inputs:
 half of (sum of v x) squared minus the sum of (v x) squared, over the ranks.
 
-The machine is fitted on at most ``max_rows`` labelled rows, those with the smallest hash of the id; all rows are scored
-over their whole texts. Ids, language, source and labels are no inputs. Null texts count as empty; an empty text has a
-score like any other. Null labels and labels other than 0 and 1 teach nothing; without any label every score is 0.5.
+The machine is fitted on a bounded sample of the labelled rows: those with the smallest hash of the id, ``max_rows`` at most
+as many as have inputs of ``max_bytes`` together, none with inputs of over a fiftieth of that; all rows are scored over their whole texts. Ids, language, source and
+labels are no inputs. Null texts count as empty; an empty text has a score like any other. Null labels and labels other than
+0 and 1 teach nothing; without any label every score is 0.5. Of labels that repeat an id the smallest counts, of documents that
+do the one with the smallest inputs teaches; each is scored. Columns of any name go along where rows are filtered.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, release
+from .common import bounded, map_arrow, release, stage
 
 WORDS, RANK, BINS = 1 << 14, 6, 16
 _STATS = 18
@@ -124,31 +126,41 @@ def _held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 12_000) -> Machine:
-    """Fit on rows of ``labels`` that are not held out (remainder 2 of crc32 modulo 4), ``max_rows`` at most.
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 12_000, max_bytes: int = 200_000_000) -> Machine:
+    """Fit on rows of ``labels`` that are not held out (remainder 2 of crc32 modulo 4), ``max_rows`` and ``max_bytes`` at most.
 
-    The chosen ids are bounded by ``max_rows``, so they are broadcast and the texts do not move; the driver receives
-    hashed inputs of those rows only, and never texts."""
-    named = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("label")).filter(F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~_held_out(F.col("_id"), 4, 2))
-    named = named.groupBy("_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    chosen = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).cast("binary").alias("text")).join(F.broadcast(named), F.col("_doc") == F.col("_id")).select("label", "text")
+    The chosen ids are bounded by ``max_rows``, so they are broadcast and the texts do not move. Their hashed inputs are staged, one
+    row an id; the driver receives their sizes, then as many as fit ``max_bytes``, and never texts."""
+    named = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~_held_out(F.col("id"), 4, 2))
+    named = named.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("text")).join(F.broadcast(named), F.col("doc") == F.col("id")).select("id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            rows = [inputs(t or b"", known) for t in b.column(1).to_pylist()]
+            rows = [inputs(t or b"", known) for t in b.column(2).to_pylist()]
             packs = [[r[i].tobytes() for r in rows] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p, pa.binary()) for p in packs)], ["label", "at", "value", "stats"])
-
-    got = map_arrow(chosen, run, "label int, at binary, value binary, stats binary").collect()
-    got = sorted(got, key=lambda r: (bytes(r["at"]), bytes(r["value"]), r["label"]))[:4 * max_rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(p, pa.binary()) for p in packs)], ["id", "label", "at", "value", "stats"])
+
+    hashed = map_arrow(chosen, run, "id long, label int, at binary, value binary, stats binary")
+    hashed = hashed.groupBy("id", "label").agg(F.min(F.struct("at", "value", "stats")).alias("of")).select(F.xxhash64("id").alias("rank"), "id", "label", "of.*")
+    size = F.octet_length("at") + F.octet_length("value") + F.octet_length("stats")
+    hashed = stage(hashed, "inputs").filter(size <= max_bytes // 50)
+    sizes = hashed.select("rank", "id", size.alias("n")).orderBy("rank", "id").collect()
+    ends = np.cumsum([r["n"] for r in sizes], dtype=np.int64)
+    fit_in = int(np.searchsorted(ends, max_bytes, "right"))
+    if fit_in < len(sizes):
+        last = sizes[fit_in - 1]
+        hashed = hashed.filter(F.struct("rank", "id") <= F.struct(F.lit(last["rank"]), F.lit(last["id"])))
+    got = sorted(hashed.collect(), key=lambda r: (r["rank"], r["id"]))
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), np.frombuffer(r["stats"], np.float64)) for r in got]
     return fit(rows, np.array([r["label"] for r in got], np.float64))
 
 
-def scored(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``_score``, one pass over whole texts; only the texts go to Python."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: WORDS and RANK
+def score_of(text: Column, machine: Machine, spark: SparkSession) -> Column:
+    """The score as a column: one pass over whole texts; only the texts go to Python."""
+    bounded(spark)
+    shared = spark.sparkContext.broadcast(machine)  # of fixed size: WORDS and RANK
 
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -157,16 +169,17 @@ def scored(docs: DataFrame, machine: Machine, *, text: str = "text") -> DataFram
             yield pa.array([shared.value.score(*inputs(t.as_py() or b"", known)) for t in texts], pa.float64())
         release()
 
-    return docs.withColumn("_score", score(F.col(text).cast("binary")))
+    return score(text.cast("binary"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     machine = train(docs, labels)
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), machine).withColumnRenamed("_score", "score")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(F.col("text"), machine, docs.sparkSession).alias("score"))
     return out.select("doc_id", _held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; their columns as they are."""
-    machine = train(docs, labels)
-    return scored(docs, machine).filter(F.col("_score") >= threshold).drop("_score")
+def accepted(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``; their columns, whatever their names, as they are."""
+    machine = train(docs, labels, text=text)
+    rows = docs.select(F.struct("*").alias("row"), score_of(F.col(text), machine, docs.sparkSession).alias("score"))
+    return rows.filter(F.col("score") >= threshold).select("row.*")
