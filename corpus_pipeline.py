@@ -20,11 +20,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop each source's boilerplate lines; every document stays."""
-    out = line_freq.cleaned(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Drop each source's boilerplate lines; every document stays. n_chars follows where a text changed."""
+    if "n_chars" not in docs.columns:
+        return line_freq.cleaned(docs)
+    kind = docs.schema["n_chars"].dataType
+    both = docs.select(F.struct("*").alias("row"), "source", "text")
+    out = line_freq.cleaned(both, dropped="dropped")
+    n_chars = F.when(F.col("dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
