@@ -6,14 +6,14 @@ are interchangeable, so the tree is walked for counts of lengths (at most ``capa
 same as if every piece of the whole corpus were placed one by one. Each piece then finds its place by its length and
 its rank among the pieces of that length, without any task holding more than its own pieces.
 
-Null texts count as empty; an empty text is the end token alone. Repeated rows are packed each. Columns beside id and
-text are ignored.
+Null texts count as empty; an empty text is the end token alone. Null ids are kept. Repeated rows are packed each. Columns
+beside id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def coder(path: str):
-    """A byte-level BPE coder for a tokenizers file: its vocabulary and merge order in tiktoken's encoder, which is several
-    times as fast and gives the same ids. Special tokens' strings are ordinary text. Raises if the file is of another kind."""
+def coder(path: str) -> Callable[[str], list[int]]:
+    """The ids of a text by a byte-level BPE tokenizers file, its vocabulary and merge order in tiktoken's encoder, which is several
+    times as fast and gives the same ids. A text is cut at the file's added tokens first. Raises if the file is of another kind."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -44,6 +44,8 @@ def coder(path: str):
     model, before = spec["model"], spec["pre_tokenizer"]
     if model["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or spec["normalizer"]:
         raise ValueError(f"{path} holds no plain byte-level BPE")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path} holds added tokens that take in what stands around them")
     vocabulary = model["vocab"]
     made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
     if any(a >= b for a, b in zip(made, made[1:])):
@@ -52,9 +54,16 @@ def coder(path: str):
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in added}
+    encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return encoding.encode(text, allowed_special="all")
+        return encoding.encode_ordinary(text)
+
+    return encode
 
 
 def tokenized(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
@@ -67,7 +76,7 @@ def tokenized(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pa
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("rank", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = coder(path).encode_ordinary, np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, part = coder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         rows: list[tuple] = []
         held = 0
         for b in batches:
