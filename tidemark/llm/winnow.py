@@ -5,8 +5,8 @@ so two texts that share ``span`` words in a row keep a common fingerprint. The f
 each hit is extended over the words around it: a window of ``span`` words counts only if its words are equal one by one.
 Benchmark items of fewer than ``span`` words are one window each and are looked up by the hash of the whole item.
 
-Null and empty texts have no words and are never hit. Ties of a window's smallest hash are all kept. Repeated rows are
-judged one by one; columns beside the id and the text are ignored.
+Null and empty texts have no words and are never hit. Ties of a window's smallest hash are all kept. Null ids are kept, and
+repeated rows are judged one by one; columns beside the id and the text, whatever their names, are ignored or go along.
 """
 
 from __future__ import annotations
@@ -52,12 +52,14 @@ def _chosen(grams: Column, i: Column, width: int) -> Column:
 
 
 def item_prints(items: DataFrame, item_id: str, text: str, span: int, k: int) -> DataFrame:
-    """(item_id, iw words, q position, kind, h): the chosen k-word fingerprints of items of at least ``span`` words (kind 0),
-    one hash of the whole item of shorter ones (kind: their number of words)."""
+    """(item_id, iw words, q position in them, kind, h): the chosen k-word fingerprints of items of at least ``span`` words (kind 0)
+    with the words that a window over them can hold, one hash of the whole item of shorter ones (kind: their number of words)."""
+    before = span - k
     base = items.select(F.col(item_id).cast("string").alias("item_id"), words_of(F.col(text)).alias("iw")).filter(F.size("iw") > 0)
     long = base.filter(F.size("iw") >= span).withColumn("ig", _gram("iw", k))
     places = F.filter(F.sequence(F.lit(0), F.size("iw") - k), lambda i: _chosen(F.col("ig"), i, span - k + 1))
-    long = long.select("item_id", "iw", "ig", F.explode(places).alias("q")).select("item_id", "iw", "q", F.lit(0).alias("kind"), F.get("ig", F.col("q")).alias("h"))
+    long = long.select("item_id", "iw", "ig", F.explode(places).alias("at")).withColumn("from", F.greatest(F.lit(0), F.col("at") - before))
+    long = long.select("item_id", F.slice("iw", F.col("from") + 1, F.lit(before + span)).alias("iw"), (F.col("at") - F.col("from")).alias("q"), F.lit(0).alias("kind"), F.get("ig", F.col("at")).alias("h"))
     short = base.filter(F.size("iw") < span).select("item_id", "iw", F.lit(0).alias("q"), F.size("iw").alias("kind"), F.xxhash64(*[F.get("iw", F.lit(j)) for j in range(span - 1)]).alias("h"))
     return long.unionByName(short)
 
@@ -92,8 +94,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     """Per document row: (doc_id, n_words, spans array<struct<start, end>> of hit words, items sorted array<string>).
 
     The benchmark's fingerprints are the one side that is held in memory: they are counted first and taken in blocks of
-    ``set_limit`` at most, each block one pass over the documents in which only matching positions leave the scan. The
-    documents' fingerprints are never gathered; the one shuffle brings the few hits of a document together."""
+    ``set_limit`` at most, each block one pass over the documents in which only matching positions leave the scan. A block's rows, each
+    with 15 words of its item at most, are broadcast if they are few enough (many items may share a fingerprint) and joined by a
+    shuffle otherwise. The documents' fingerprints are never gathered; the last shuffle brings the few hits of a document together."""
     prints = item_prints(items, item_id, item_text, span, k)
     prints = stage(prints, "prints")
     keys = (tuple(r) for r in prints.select("kind", "h").distinct().orderBy("kind", "h").toLocalIterator())
@@ -112,7 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
         side = prints.withColumnRenamed("kind", "_kind").withColumnRenamed("h", "_h")
         if block:
             side = side.filter(F.struct("_kind", "_h").between(F.struct(F.lit(block[0][0]), F.lit(block[0][1])), F.struct(F.lit(block[-1][0]), F.lit(block[-1][1]))))
-        rows = rows.join(F.broadcast(side), (F.col("kind") == F.col("_kind")) & (F.col("h") == F.col("_h")), "left")
+        rows = rows.join(sized(side), (F.col("kind") == F.col("_kind")) & (F.col("h") == F.col("_h")), "left")
         part = _extended(rows, span, k).select("_row", "doc_id", "n_words", "span", F.when(F.col("span").isNotNull(), F.col("item_id")).alias("item_id"))
         part = stage(part, "spans") if several else part  # the driver holds two blocks at most, and a plan one
         spans = part if spans is None else spans.unionByName(part)
@@ -131,9 +134,11 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that share a window with an item; their columns stay as they are.
-
-    Rows are told apart by their id: a row whose id another, hit row bears goes too."""
-    hit = contamination(docs, items, doc_id=doc_id, text=text).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    hit = sized(stage(hit, "hit"))
-    return docs.join(hit, F.col(doc_id).eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the rows that share a window with an item; their columns, whatever their names, stay as they are.
+
+    Rows are told apart by their id and two hashes of their text, so that of rows with one id, or none, only those with a hit go."""
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+    found = contamination(docs.select(key.alias("key"), F.col(text).alias("text")), items, doc_id="key", text="text")
+    hit = sized(stage(found.filter(F.size("spans") > 0).select("doc_id.*").distinct(), "hit"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(hit, (F.col("key.a") == F.col("a")) & (F.col("key.b") == F.col("b")) & F.col("key.id").eqNullSafe(F.col("id")), "left_anti").select("row.*")
