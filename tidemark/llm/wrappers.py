@@ -9,7 +9,8 @@ check on that. A page is then walked along the wrapper, and what fills the slots
 
 Pages of one shape and host are one tree with their texts' states, made before the shuffle, and a host's trees are aligned in
 portions whose wrappers are aligned in turn, so a host with a third of all pages loads no task. Null html is empty and gives an
-empty text; a null url is a host of its own. Broken or cut-off markup is read as far as it goes.
+empty text; a null url is a host of its own. Broken or cut-off markup is read as far as it goes. Elements nested over DEPTH deep
+stand beside each other in the tree, as browsers have it at a depth of their own; what drops a text still follows the nesting.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -46,10 +48,12 @@ _WORD = re.compile(r"[a-z]+")
 PORTIONS, SHARE = 16, 0.6
 #: Different pages that must bear a text, and none another one in its place, before it is template.
 PAGES = 3
+#: Levels of a tree; what is nested deeper stands on the last one.
+DEPTH = 100
 
 
 class Block:
-    __slots__ = ("children", "dropped", "label", "main", "marks", "path", "tag", "texts")
+    __slots__ = ("children", "deep", "dropped", "home", "label", "main", "marks", "path", "tag")
 
     def __init__(self, tag: str, label: str, marks: frozenset, up: Block | None) -> None:
         self.tag, self.label, self.marks = tag, label, marks
@@ -61,14 +65,18 @@ class Block:
         self.dropped = inside_comments or (own if self.main or up is None else own or up.dropped)
         if inside_comments:
             self.marks = marks | _COMMENTS
-        self.path = ("*" if inside_main or self.main else "") + (up.path.lstrip("*") + "/" if up else "") + label
+        self.deep = up.deep + 1 if up else 0
+        way = "" if up is None else up.path.lstrip("*") if self.deep > DEPTH else up.path.lstrip("*") + "/" + label
+        self.path = ("*" if inside_main or self.main else "") + way
         self.children: list = []
+        #: The block whose child this one is in the tree.
+        self.home = None if up is None else up if up.deep < DEPTH else up.home
 
 
 def parse(page: str) -> tuple[Block, list[tuple[Block, str]]]:
     """The tree of a page, and its texts in page order as (block, text); one entry is one block of text."""
     root = Block("", "", frozenset(), None)
-    stack, texts, parts = [root], [], []
+    stack, texts, parts, open_ = [root], [], [], Counter()
 
     def flush() -> None:
         if parts:
@@ -92,24 +100,25 @@ def parse(page: str) -> tuple[Block, list[tuple[Block, str]]]:
             continue
         flush()
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                while (last := stack.pop()).tag != tag:
+                    open_[last.tag] -= 1
+                open_[tag] -= 1
             continue
         if tag == "html" or tag == "body":
             continue
         while len(stack) > 1 and tag in _CLOSED_BY.get(stack[-1].tag, ()):
-            stack.pop()
+            open_[stack.pop().tag] -= 1
         if stack[-1].tag == "head" and tag not in ("meta", "link", "base"):
-            stack.pop()
+            open_[stack.pop().tag] -= 1
         if tag in _VOID:
             continue
         marks = _marks(attrs)
         block = Block(tag, tag + "".join("." + w for w in sorted(marks & (_MARKS | {"main"}))), marks, stack[-1])
-        stack[-1].children.append(block)
+        block.home.children.append(block)
         if not attrs.endswith("/") or tag not in ("div", "span"):
             stack.append(block)
+            open_[tag] += 1
     flush()
     return root, texts
 
