@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, shard results merged.
 
 Vectors are dealt to shards of a bounded size by a hash of their id. A shard's graph has layers, each node's highest one
-drawn at random with geometrically falling odds; a node is linked to nodes inserted before it, chosen so that each is
-nearer to the node than to the ones already chosen, and those nodes are linked back. The neighbours of a layer are one flat array,
-padded with -1. A search goes down greedily and widens to ``ef`` candidates in the lowest layer. Equal vectors of a
-shard are one node with several ids, so copies don't crowd a graph.
+drawn at random with geometrically falling odds. Nodes are inserted by searching the graph made so far, up to TOGETHER of them in
+step: a node is linked to a choice of what it finds in each of its layers, each nearer to it than to the ones already chosen, and
+they are linked back, with the same choice where a row is full. The neighbours of a layer are one flat array, padded with -1. A
+search goes down greedily and widens to ``ef`` candidates in the lowest layer. Equal vectors of a shard are one node with several
+ids, so copies don't crowd a graph.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; vectors of
 another dimension than a query's are no candidates of it. Of query rows that repeat an id the smallest vector asks.
@@ -12,7 +13,6 @@ another dimension than a query's are no candidates of it. Of query rows that rep
 
 from __future__ import annotations
 
-import heapq
 import pickle
 
 import numpy as np
@@ -25,6 +25,8 @@ from .common import stage
 #: Vectors of a shard and queries of a block, on average; links of a node; candidates of its links; breadth of a search.
 SHARD, BLOCK = 4096, 4096
 LINKS, CONSTRUCTION, EF = 16, 64, 128
+#: Nodes that are inserted, and queries that search, in step.
+TOGETHER = 256
 
 
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -51,108 +53,121 @@ class Graph:
         self.bounds = np.searchsorted(np.sort(node), np.arange(len(self.vectors) + 1))
         n = len(self.vectors)
         rng = np.random.default_rng(n)
-        levels = np.minimum((-np.log(rng.random(n)) / np.log(links)).astype(int), 6)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []
-        self.order = rng.permutation(n)
-        for layer in range(int(levels.max()) + 1):
-            nodes = self.order[levels[self.order] >= layer]
-            self.layers.append((nodes, self._linked(nodes, links, construction)))
-        self.entry = int(self.layers[-1][0][0])
-
-    def _linked(self, nodes: np.ndarray, links: int, construction: int) -> np.ndarray:
-        """Row i: neighbours of nodes[i]: up to ``links`` chosen among those before it, and up to 2 x ``links`` that chose it, nearest first."""
-        x = self.vectors[nodes]
-        n, norms = len(x), (x * x).sum(1)
-        chosen = np.full((n, links), -1, np.int64)
-        gap = np.full((n, links), np.inf)
-        for a in range(0, n, 1024):
-            z = min(n, a + 1024)
-            d = norms[a:z, None] + norms[None, :z] - 2 * x[a:z] @ x[:z].T
-            d[np.arange(z)[None, :] >= np.arange(a, z)[:, None]] = np.inf
-            k = min(construction, z)
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            dist = np.take_along_axis(d, near, 1)
-            rank = np.argsort(dist, axis=1, kind="stable")
-            near, dist = np.take_along_axis(near, rank, 1), np.take_along_axis(dist, rank, 1)
-            chosen[a:z], gap[a:z] = _diverse(x, near, dist, links)
+        self.levels = np.minimum((-np.log(rng.random(n)) / np.log(links)).astype(np.int8), 6)
+        order = rng.permutation(n)
+        order = order[np.argsort(self.levels[order] < self.levels.max(), kind="stable")]
+        #: The first node inserted is in every layer, so all searches enter there.
+        self.entry = int(order[0])
+        self.tables = [np.full((n, links if layer else 2 * links), -1, np.int32) for layer in range(int(self.levels.max()) + 1)]
+        a, z = 0, 1
+        while a < n:
+            self._insert(order[a:z], links, construction, a > 0)
+            a, z = z, z + min(TOGETHER, z)
+
+    def _insert(self, nodes: np.ndarray, links: int, construction: int, searchable: bool) -> None:
+        """Insert nodes together: each searches the graph made so far from the top layer down, and sees those of the others that
+        stand before it; of what it finds in each of its layers it is linked to a diverse choice."""
+        x = self.vectors
+        at = np.full(len(nodes), self.entry)
+        for layer in range(len(self.tables) - 1, -1, -1):
+            deep = self.levels[nodes] >= layer
+            mine = nodes[deep]
+            near, dist = np.empty((len(mine), 0), np.int64), np.empty((len(mine), 0))
+            if searchable:
+                if not deep.all():
+                    at[~deep] = self._beam(layer, x[nodes[~deep]], at[~deep], 1)[0][:, 0]
+                if deep.any():
+                    near, dist = self._beam(layer, x[mine], at[deep], construction)
+                    at[deep] = near[:, 0]
+            if not len(mine):
+                continue
+            mates = ((x[mine][:, None, :] - x[mine][None]) ** 2).sum(2)
+            mates[np.triu_indices(len(mine))] = np.inf
+            near, dist = np.concatenate([near, np.broadcast_to(mine, mates.shape)], 1), np.concatenate([dist, mates], 1)
+            by = np.argsort(dist, axis=1, kind="stable")[:, :construction]
+            near, dist = np.take_along_axis(near, by, 1), np.take_along_axis(dist, by, 1)
+            chosen = _diverse(x, near, dist, links)
+            self.tables[layer][mine, :links] = chosen
+            self._link_back(layer, mine, chosen)
+
+    def _link_back(self, layer: int, nodes: np.ndarray, chosen: np.ndarray) -> None:
+        """Link the chosen to those that chose them; a row that overflows keeps a diverse choice."""
+        table, x = self.tables[layer], self.vectors
         source, slot = np.nonzero(chosen >= 0)
-        target, length = chosen[source, slot], gap[source, slot]
-        by = np.lexsort((length, target))
-        source, target = source[by], target[by]
-        place = np.arange(len(target)) - np.searchsorted(target, target)
-        keep = place < 2 * links
-        out = np.full((n, 3 * links), -1, np.int32)
-        out[:, :links] = chosen
-        out[target[keep], links + place[keep]] = source[keep]
-        return np.where(out >= 0, nodes[out], -1).astype(np.int32)
-
-    def _closest(self, q: np.ndarray, start: int, row: dict | np.ndarray, table: np.ndarray) -> int:
-        best, d = start, float(((self.vectors[start] - q) ** 2).sum())
-        while True:
-            near = table[row[best]]
-            near = near[near >= 0]
-            if not len(near):
-                return best
-            ds = ((self.vectors[near] - q) ** 2).sum(1)
-            i = int(ds.argmin())
-            if ds[i] >= d:
-                return best
-            best, d = int(near[i]), float(ds[i])
-
-    def prepare(self) -> None:
-        """Where each node stands in each layer; made when the index is read."""
-        self.rows = []
-        for nodes, _ in self.layers:
-            row = np.full(len(self.vectors), -1, np.int64)
-            row[nodes] = np.arange(len(nodes))
-            self.rows.append(row)
-
-    def search(self, q: np.ndarray, ef: int = EF) -> list[tuple[float, int]]:
-        """Up to ``ef`` nodes near q as (squared distance, node), nearest first."""
-        at = self.entry
-        for layer in range(len(self.layers) - 1, 0, -1):
-            at = self._closest(q, at, self.rows[layer], self.layers[layer][1])
-        row, table = self.rows[0], self.layers[0][1]
-        vectors, seen = self.vectors, np.zeros(len(self.vectors), bool)
-        d = float(((vectors[at] - q) ** 2).sum())
-        seen[at] = True
-        open_, best = [(d, at)], [(-d, at)]
-        while open_:
-            d, c = heapq.heappop(open_)
-            if d > -best[0][0] and len(best) >= ef:
+        target = chosen[source, slot]
+        by = np.argsort(target, kind="stable")
+        source, target = nodes[source[by]], target[by]
+        distinct, first, count = np.unique(target, return_index=True, return_counts=True)
+        for a in range(0, len(distinct), 512):
+            rows, n = distinct[a:a + 512], count[a:a + 512]
+            new = np.full((len(rows), int(n.max())), -1, np.int64)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            new[np.repeat(np.arange(len(rows)), n), place] = source[first[a]:first[a] + n.sum()]
+            near = np.concatenate([table[rows].astype(np.int64), new], 1)
+            dist = np.where(near >= 0, ((x[near] - x[rows][:, None, :]) ** 2).sum(2), np.inf)
+            by = np.argsort(dist, axis=1, kind="stable")
+            near, dist = np.take_along_axis(near, by, 1), np.take_along_axis(dist, by, 1)
+            kept = near[:, :table.shape[1]]
+            full = np.isfinite(dist).sum(1) > table.shape[1]
+            if full.any():
+                kept[full] = _diverse(x, near[full], dist[full], table.shape[1])
+            table[rows] = kept
+
+    def _beam(self, layer: int, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query (a row) up to ``ef`` nodes near it and their squared distances, nearest first; -1 and infinite where fewer
+        are reached. All queries go on in step: each expands the nearest node that it has not expanded, until all that it holds are."""
+        x, table = self.vectors, self.tables[layer]
+        rows = np.arange(len(q))
+        seen = np.zeros((len(q), len(x)), bool)
+        seen[rows, entry] = True
+        near, dist = np.full((len(q), ef), -1, np.int64), np.full((len(q), ef), np.inf)
+        near[:, 0], dist[:, 0] = entry, ((x[entry] - q) ** 2).sum(1)
+        done = np.zeros((len(q), ef), bool)
+        while len(rows):
+            left = np.where(done[rows], np.inf, dist[rows])
+            best = left.argmin(1)
+            go = np.isfinite(left[np.arange(len(rows)), best])
+            rows, best = rows[go], best[go]
+            if not len(rows):
                 break
-            near = table[row[c]]
-            near = near[near >= 0]
-            near = near[~seen[near]]
-            if not len(near):
-                continue
-            near = np.unique(near)
-            seen[near] = True
-            diff = vectors[near] - q
-            for dist, node in zip(np.einsum("ij,ij->i", diff, diff).tolist(), near.tolist()):
-                if len(best) < ef:
-                    heapq.heappush(best, (-dist, node))
-                    heapq.heappush(open_, (dist, node))
-                elif dist < -best[0][0]:
-                    heapq.heapreplace(best, (-dist, node))
-                    heapq.heappush(open_, (dist, node))
-        return sorted((-d, node) for d, node in best)
-
-    def nearest(self, q: np.ndarray, query_id: int, k: int, ef: int) -> list[tuple[int, float]]:
-        """The k nearest ids found but the query's own, ties to smaller ids."""
-        found = [node for _, node in self.search(q, max(ef, k + 1))][:k + 1]
-        rows = []
-        for node in found:
-            ids = self.of[self.bounds[node]:self.bounds[node + 1]]
-            dist = float(np.sqrt(((self.vectors[node] - q) ** 2).sum()))
-            rows += [(dist, int(i)) for i in ids[:k + 1 + int((ids == query_id).sum())] if i != query_id]
-        return [(i, d) for d, i in sorted(rows)[:k]]
-
-
-def _diverse(x: np.ndarray, near: np.ndarray, dist: np.ndarray, links: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of candidates (nearest first) those nearer to the row's node than to any one chosen before; then the nearest others."""
+            done[rows, best] = True
+            found = table[near[rows, best]].astype(np.int64)
+            fresh = (found >= 0) & ~seen[rows[:, None], found]
+            seen[rows[:, None], np.where(fresh, found, entry[rows][:, None])] = True
+            gaps = x[found] - q[rows][:, None, :]
+            gaps = np.where(fresh, np.einsum("ijk,ijk->ij", gaps, gaps), np.inf)
+            all_near, all_dist = np.concatenate([near[rows], found], 1), np.concatenate([dist[rows], gaps], 1)
+            all_done = np.concatenate([done[rows], np.zeros_like(fresh)], 1)
+            by = np.argpartition(all_dist, ef - 1, axis=1)[:, :ef]
+            near[rows], dist[rows], done[rows] = (np.take_along_axis(v, by, 1) for v in (all_near, all_dist, all_done))
+        by = np.argsort(dist, axis=1, kind="stable")
+        near, dist = np.take_along_axis(near, by, 1), np.take_along_axis(dist, by, 1)
+        return np.where(np.isfinite(dist), near, -1), dist
+
+    def nearest(self, q: np.ndarray, query_ids: np.ndarray, k: int, ef: int) -> list[list[tuple[int, float]]]:
+        """For each query the k nearest ids found but its own, ties to smaller ids, with their distances."""
+        out = []
+        for a in range(0, len(q), TOGETHER):
+            some = q[a:a + TOGETHER]
+            at = np.full(len(some), self.entry)
+            for layer in range(len(self.tables) - 1, 0, -1):
+                at = self._beam(layer, some, at, 1)[0][:, 0]
+            near, _ = self._beam(0, some, at, max(ef, k + 1))
+            for v, own, nodes in zip(some, query_ids[a:a + TOGETHER].tolist(), near[:, :k + 1]):
+                rows = []
+                for node in nodes[nodes >= 0].tolist():
+                    ids = self.of[self.bounds[node]:self.bounds[node + 1]]
+                    dist = float(np.sqrt(((self.vectors[node] - v) ** 2).sum()))
+                    rows += [(dist, int(i)) for i in ids[:k + 1 + int((ids == own).sum())] if i != own]
+                out.append([(i, d) for d, i in sorted(rows)[:k]])
+        return out
+
+
+def _diverse(x: np.ndarray, near: np.ndarray, dist: np.ndarray, links: int) -> np.ndarray:
+    """For each row of candidates (nearest first) up to ``links`` of those nearer to the row's node than to any one chosen before;
+    then the nearest others. -1 where there are fewer."""
     n, k = near.shape
-    chosen, gap = np.full((n, links), -1, np.int64), np.full((n, links), np.inf)
+    chosen = np.full((n, links), -1, np.int64)
     count, taken = np.zeros(n, np.int64), np.zeros((n, k), bool)
     for r in range(k):
         go = np.nonzero((count < links) & np.isfinite(dist[:, r]))[0]
@@ -162,14 +177,14 @@ def _diverse(x: np.ndarray, near: np.ndarray, dist: np.ndarray, links: int) -> t
         gaps = ((x[near[go, r]][:, None, :] - x[other]) ** 2).sum(2)
         gaps[other < 0] = np.inf
         good = go[gaps.min(1) > dist[go, r]]
-        chosen[good, count[good]], gap[good, count[good]] = near[good, r], dist[good, r]
+        chosen[good, count[good]] = near[good, r]
         taken[good, r] = True
         count[good] += 1
     for r in range(k):
         go = np.nonzero((count < links) & np.isfinite(dist[:, r]) & ~taken[:, r])[0]
-        chosen[go, count[go]], gap[go, count[go]] = near[go, r], dist[go, r]
+        chosen[go, count[go]] = near[go, r]
         count[go] += 1
-    return chosen, gap
+    return chosen
 
 
 def index(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD, links: int = LINKS) -> tuple[DataFrame, int]:
@@ -198,9 +213,9 @@ def search(graphs: DataFrame, shards: int, queries: DataFrame, *, vec_id: str =
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
             graph = pickle.loads(left.column("graph")[0].as_py())
-            graph.prepare()
-            for query, v in zip(right.column("vec_id").to_pylist(), _matrix(right.column("v"), key[0].as_py())):
-                for i, d in graph.nearest(v, query, k, ef):
+            asking = right.column("vec_id").to_numpy()
+            for query, found in zip(asking.tolist(), graph.nearest(_matrix(right.column("v"), key[0].as_py()), asking, k, ef)):
+                for i, d in found:
                     out[0].append(query)
                     out[1].append(i)
                     out[2].append(d)
