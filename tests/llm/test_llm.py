@@ -118,8 +118,7 @@ def test_op4_ids_places_and_count(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    docs = frame(spark, documents() + [(300, "a  b \n\n c <|endoftext|> don't I'LL", "x"), (301, "ab" * 4000, "x")], DOCS)
+    docs = frame(spark, documents() + [(300, "a  b \n\n c <|endoftext|> don't I'LL", "x"), (302, "<|endoftext|><|endoftext|> x<|endoftext", "x"), (301, "ab" * 4000, "x")], DOCS)
     rows = packing.report(docs).collect()
     want = Counter()
     for d, t, *_ in docs.select("doc_id", "text").collect():
@@ -289,12 +288,13 @@ def test_op8_equals_sql_and_spares_copies(spark):
     want = con.execute(f"select doc_id, n_dropped, n_chars, text_md5 from ({line_freq.oracle_sql()})").fetchall()
     assert sorted(want, key=repr) == sorted((tuple(r) for r in line_freq.report(docs).select("doc_id", "n_dropped", "n_chars", "text_md5").collect()), key=repr)
     cleaned = line_freq.cleaned(docs)
-    assert cleaned.columns == [*docs.columns, "_dropped"] and cleaned.count() == len(rows)
+    assert cleaned.columns == docs.columns and cleaned.count() == len(rows)
+    assert line_freq.cleaned(docs, dropped="n").columns == [*docs.columns, "n"]
     assert line_freq.report(docs.limit(0)).count() == 0
 
 
 # ---- 9 language model ----------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 4])
 def test_op9_equals_a_dictionary_model(spark, monkeypatch, order):
     monkeypatch.setattr(backoff_lm, "BATCH", 500)
     rows = documents()

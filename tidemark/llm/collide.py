@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import map_arrow, sized, stage
 from .graph import components
 
 #: Rounds that compare a bucket with one leader, before all that are still apart in it are compared.
 STARS = 4
-#: Units of a bucket that a task compares among themselves.
-BLOCK = 1024
+#: Units of a bucket that a task compares among themselves; buckets so small are compared whole, before the last round too.
+BLOCK, FEW = 1024, 32
 SHINGLE, SIMILAR = 5, 0.8
 FINE_BANDS, FINE_ROWS = 70, 12
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, FINE_BANDS * FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,13 +157,7 @@ def _most(similar: float) -> int:
     return int(bits * differ + 3 * np.sqrt(bits * differ * (1 - differ)))
 
 
-def verified(pairs: DataFrame, table: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of at least that similarity: sketches rule out most others, then the exact sets decide."""
-    near = stage(kept(with_both(pairs, table, "sketch"), within(_most(similar))), "near")
-    return kept(with_both(near, table, "shingles"), alike(similar))
-
-
-def across(rest: DataFrame, table: DataFrame, similar: float) -> DataFrame:
+def across(rest: DataFrame, table: DataFrame, most: int) -> DataFrame:
     """(a, b): units of different classes in a bucket (key, unit, class) whose sketches are near.
 
     A task compares a bucket's sketches among themselves and gives back near pairs only; a bucket of over BLOCK units is cut into
@@ -173,7 +167,6 @@ def across(rest: DataFrame, table: DataFrame, similar: float) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("portion"), (F.col("side") < F.col("other")).alias("low"), (F.col("side") > F.col("other")).alias("high"), "unit", "class")
     rows = rows.join(table.select(F.col("unit").alias("_u"), "sketch"), F.col("unit") == F.col("_u")).drop("_u")
-    most = _most(similar)
 
     def near(portion: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(portion)
@@ -208,41 +201,54 @@ def across(rest: DataFrame, table: DataFrame, similar: float) -> DataFrame:
     return map_arrow(rows.repartition("portion").sortWithinPartitions("portion"), run, "a long, b long")
 
 
-def classes(table: DataFrame, similar: float, first: DataFrame | None = None) -> DataFrame | None:
+def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = None, linked: DataFrame | None = None, most: int | None = None) -> DataFrame | None:
     """(unit, class) for the units that are similar to another one; None if there are none.
 
-    table: staged result of ``sketched``; first: pairs (a, b) found before, verified along. In each round every bucket of
-    the bands compares one leader with its units of other classes, and verified links join classes; buckets whose units
-    are all of one class are done. What several leaders leave apart is compared class against class, so no link between
-    units that share a band is lost, while a bucket of copies makes no more pairs than it has units in a round."""
-    keyed = table.select("unit", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("key", "_key")
-    buckets = stage(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "unit", "size"), "buckets")
-    linked = found = None
-    for turn in range(-1 if first is not None else 0, STARS + 1):
-        if turn < 0:
-            pairs = first
+    table: staged (unit, shingles, sketch); buckets: staged (key, unit) of units that collide, the table's column ``keys`` if none are
+    given; linked: links (a, b) known before, from one leader of each bucket at least; most: differing sketch bits that a pair
+    may have. In each round every bucket compares one leader with its units of other classes, and verified links join classes;
+    buckets whose units are all of one class are done. Once no bucket holds more than FEW units, or after STARS rounds,
+    what leaders left apart is compared class against class. So no link between units of a bucket is lost, while a bucket of
+    copies makes no more pairs than it has units in a round."""
+    most = _most(similar) if most is None else most
+    if buckets is None:
+        keyed = table.select("unit", F.explode("keys").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("_key"))
+        buckets = stage(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "unit"), "buckets")
+    found = None if linked is None else joined(linked)
+    for turn in range(0 if linked is None else 1, STARS + 1):
+        if found is None:
+            now = buckets.withColumn("class", F.col("unit"))
         else:
-            now = (buckets.filter("size > 2") if turn else buckets).select("key", "unit")
-            if found is None:
-                now = now.withColumn("class", F.col("unit"))
-            else:
-                now = now.join(found.withColumnRenamed("unit", "_unit"), F.col("unit") == F.col("_unit"), "left").select("key", "unit", F.coalesce("class", "unit").alias("class"))
-            leader = F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("r"), F.col("unit").alias("leader"), F.col("class").alias("of"))).alias("first")
-            apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), leader).filter("lo <> hi")
-            apart = apart.select(F.col("key").alias("_key"), F.col("first.leader").alias("leader"), F.col("first.of").alias("of"))
-            if turn < STARS:
-                pairs = now.join(apart, F.col("key") == F.col("_key")).filter(F.col("class") != F.col("of")).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
-            else:
-                pairs = across(stage(now.join(apart, F.col("key") == F.col("_key")).select("key", "unit", "class"), "apart"), table, similar)
-        pairs = stage(pairs.distinct(), "pairs")
-        if not pairs.limit(1).count():
-            if turn > 0:
-                break
-            continue
-        new = verified(pairs, table, similar) if turn < STARS else kept(with_both(pairs, table, "shingles"), alike(similar))
-        new = stage(new, "links")
+            of = sized(found).withColumnsRenamed({"unit": "_unit", "class": "_class"})
+            now = buckets.join(of, F.col("unit") == F.col("_unit"), "left").select("key", "unit", F.coalesce("_class", "unit").alias("class"))
+        leader = F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("r"), F.col("unit").alias("leader"), F.col("class").alias("of"))).alias("first")
+        apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), leader).filter("lo <> hi")
+        apart = stage(apart.select(F.col("key").alias("_key"), "n", F.col("first.leader").alias("leader"), F.col("first.of").alias("of")), "apart")
+        widest = apart.agg(F.max("n")).first()[0]
+        if widest is None:
+            break
+        left = now.join(sized(apart), F.col("key") == F.col("_key"))
+        last = turn == STARS or bool(turn) and widest <= FEW
+        if last:
+            near = across(stage(left.select("key", "unit", "class"), "left"), table, most)
+        else:
+            stars = left.filter(F.col("class") != F.col("of")).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
+            near = kept(with_both(stage(stars.distinct(), "stars"), table, "sketch"), within(most))
+        new = stage(exact(stage(near.distinct(), "near"), table, similar), "links")
         if new.limit(1).count():
             linked = new if linked is None else linked.unionByName(new)
-            found = stage(components(linked, "components").select(F.col("node").alias("unit"), F.col("component").alias("class")), "classes")
+            found = joined(linked)
+        if last:
+            break
     return found
+
+
+def exact(pairs: DataFrame, table: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have that similarity."""
+    return kept(with_both(pairs, table, "shingles"), alike(similar))
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """(unit, class) of what the links (a, b) join."""
+    return components(links, "classes").select(F.col("node").alias("unit"), F.col("component").alias("class"))

@@ -39,7 +39,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         src += b.column(0).to_pylist()
         dst += b.column(1).to_pylist()
-        if len(src) >= CHUNK:
+        if len(src) > CHUNK:
             yield _forest(src, dst)
             src, dst = [], []
     if src:
@@ -68,22 +68,26 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (src long, dst long) that is not itself the smallest.
 
-    Nulls and loops are ignored; repeated edges do no harm. Each round contracts the edges within their tasks, then does
-    a large-star and a small-star step, and is written to the shared folder; the number of rounds grows with the
-    logarithm of the longest chain. Raises if ``max_rounds`` do not suffice, rather than give a part."""
+    Nulls and loops are ignored; repeated edges do no harm. Edges are contracted within their tasks first; what is left is
+    contracted in one task if it is at most CHUNK edges. Otherwise each round contracts within the tasks, then does a large-star and a
+    small-star step, and is written to the shared folder; the number of rounds grows with the logarithm of the longest
+    chain. It ends when the edges are stars. Raises if ``max_rounds`` do not suffice, rather than give a part."""
     edges = edges.select(F.col(edges.columns[0]).cast("long").alias("src"), F.col(edges.columns[1]).cast("long").alias("dst")).dropna().filter("src != dst")
     edges = stage(contracted(edges), label)
-    before = None
-    for _ in range(max_rounds):
-        edges = edges.coalesce(max(1, edges.rdd.getNumPartitions() // 2))
-        edges = stage(_star(_star(contracted(edges), True), False), label)
-        now = edges.agg(F.count("*"), F.sum(F.col("dst").cast("decimal(38,0)")), F.countDistinct("src")).first()
-        if now == before and now[0] == now[2] and not _crossing(edges):
-            return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-        before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _crossing(edges: DataFrame) -> bool:
-    """Whether a node's root still has a root of its own."""
-    return bool(edges.join(edges.select(F.col("src").alias("_r")), F.col("dst") == F.col("_r"), "left_semi").limit(1).count())
+    if edges.limit(CHUNK + 1).count() <= CHUNK:
+        edges = stage(contracted(edges.coalesce(1)), label)
+    else:
+        for _ in range(max_rounds):
+            edges = edges.coalesce(max(1, edges.rdd.getNumPartitions() // 2))
+            edges = stage(_star(_star(contracted(edges), True), False), label)
+            if _stars(edges):
+                break
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none: each component is a star around its smallest node."""
+    rows, nodes = edges.agg(F.count("*"), F.countDistinct("src")).first()
+    return rows == nodes and not edges.join(edges.select(F.col("src").alias("_r")), F.col("dst") == F.col("_r"), "left_semi").limit(1).count()

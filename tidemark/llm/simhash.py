@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .collide import SIMILAR, Words, classes, kept, mix, sequence_hash, sketched, with_both, within
+from .collide import SIMILAR, Words, classes, exact, joined, kept, mix, sequence_hash, with_both, within
 from .common import map_arrow, sized, stage
 from .graph import components
 
@@ -26,7 +26,7 @@ SEED = 42
 #: Table buckets of more fingerprints are linked over shared ball centres, not pair by pair.
 BUCKET = 64
 _BITS = 4096
-#: Segment buckets of at most so many texts are paired.
+#: Segment buckets of at most so many texts are paired at once; larger ones are compared with a leader at a time.
 PAIRED = 16
 #: Segment keys of a partition.
 RANGE = 1 << 20
@@ -164,7 +164,7 @@ def wide(shingles: np.ndarray) -> np.ndarray:
 
 
 def _wide_prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, unit: hash of the word sequence, bits binary)."""
+    """(doc_id, mark: hash of the text, unit: hash of the word sequence, bits binary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
@@ -176,10 +176,10 @@ def _wide_prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     units = sequence_hash(words.key, first[:-1], n)
                     h = words.shingles()
                     prints = [np.packbits(wide(words.shingle_set(h, a, k))).tobytes() for a, k in zip(first[:-1].tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(units.view(np.int64)), pa.array(prints, pa.binary())], ["doc_id", "unit", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(units.view(np.int64)), pa.array(prints, pa.binary())], ["doc_id", "mark", "unit", "bits"])
 
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return map_arrow(base, run, "doc_id long, unit long, bits binary")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    return map_arrow(base, run, "doc_id long, mark long, unit long, bits binary")
 
 
 @lru_cache(maxsize=2)
@@ -210,20 +210,24 @@ def _keyed(units: DataFrame, width: int, segments: int) -> DataFrame:
 
 
 def _met(keyed: DataFrame, rows: int) -> DataFrame:
-    """(a, b): the pairs of units that share a key of at most PAIRED units, and (unit, null) for those under larger keys.
+    """(a, b, null): the pairs of units that share a key of at most PAIRED units, and (unit, leader, key) for those under larger keys,
+    where the leader is the smallest unit under the key.
 
     ``rows`` is the number of rows at most; partitions hold RANGE of them, so sorting takes little memory."""
     def met(key: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         size = count[inverse]
-        crowd = unit[size > PAIRED]
+        large = size > PAIRED
+        lead = np.full(len(count), 2**63 - 1)
+        np.minimum.at(lead, inverse[large], unit[large])
         a, b = [], []
         for step in range(1, PAIRED):
             at = np.nonzero((key[step:] == key[:-step]) & (size[step:] <= PAIRED))[0]
             a.append(np.minimum(unit[at], unit[at + step]))
             b.append(np.maximum(unit[at], unit[at + step]))
-        b = pa.concat_arrays([pa.array(np.concatenate(b)), pa.nulls(len(crowd), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, crowd])), b], ["a", "b"])
+        a, b = np.concatenate([*a, unit[large]]), np.concatenate([*b, lead[inverse[large]]])
+        under = pa.concat_arrays([pa.nulls(len(b) - int(large.sum()), pa.int64()), pa.array(key[large])])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), under], ["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = unit = np.empty(0, np.int64)
@@ -235,33 +239,47 @@ def _met(keyed: DataFrame, rows: int) -> DataFrame:
                 key, unit = key[whole:], unit[whole:]
         yield met(key, unit)
 
-    return map_arrow(keyed.repartition(max(1, -(-rows // RANGE)), "key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+    return map_arrow(keyed.repartition(max(1, -(-rows // RANGE)), "key").sortWithinPartitions("key"), run, "a long, b long, key long").distinct()
 
 
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class, least): groups of texts with a five-word-shingle Jaccard similarity of ``similar`` or more, over links.
+    """(doc_id, mark, class, least): groups of texts with a five-word-shingle Jaccard similarity of ``similar`` or more, over links.
 
     Multi-index hashing over wide fingerprints: texts that agree in a segment meet, their complete distance is verified, and
-    what is left is verified by the exact similarity. Buckets of over PAIRED texts, which are groups of
-    variants, are not paired: their texts are looked up by finer MinHash bands, and verified as exactly. Texts of equal
-    word sequences are one unit from the start. least is the smallest doc_id of the group. Texts without words are copies of each other."""
+    what is left is verified by the exact similarity. All texts of a bucket of at most PAIRED are paired; larger buckets, which are
+    groups of variants, are compared with a leader at a time, and then class against class (``collide.classes``), so no pair of
+    different classes that shares a segment goes unseen. Texts of equal word sequences are one unit from the start. least is the
+    smallest doc_id of the group, mark a hash of the row's text. Texts without words are copies of each other. Rows of null ids
+    are grouped like others, but are no group's least unless it has no ids."""
     docs_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = docs_.count()
     width, segments, most = layout(n, similar)
     wide_prints = stage(_wide_prints(docs_, "doc_id", "text"), "wide")
-    units = stage(wide_prints.groupBy("unit").agg(F.min("doc_id").alias("at"), F.min("bits").alias("bits")), "units")
+    units = stage(wide_prints.groupBy("unit").agg(F.min("doc_id").alias("at"), F.min("bits").alias("bits"), F.count("*").alias("n")), "units")
     met = stage(_met(_keyed(units, width, segments), n * segments), "met")
-    near = stage(kept(with_both(met.filter("b is not null"), units, "bits"), within(most)), "near")
-    wanted = near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).unionByName(met.filter("b is null").select(F.col("a").alias("u"))).distinct()
-    found = classes(stage(sketched(_sets(docs_, units, wanted)), "sets"), similar, near)
-    base = wide_prints.select("doc_id", "unit")
-    if found is None:
-        out = base.withColumn("class", F.col("unit"))
-    else:
-        out = base.join(found.withColumnRenamed("unit", "_unit"), F.col("unit") == F.col("_unit"), "left").select("doc_id", F.coalesce("class", "unit").alias("class"))
-    out = out.select("doc_id", "class")
-    least = out.groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "_class")
-    return out.join(least, F.col("class") == F.col("_class")).select("doc_id", "class", "least")
+    crowd, stars = met.filter("key is not null"), met.filter("key is not null and a <> b").select("a", "b").distinct()
+    near = stage(kept(with_both(met.filter("key is null").select("a", "b").unionByName(stars), units, "bits"), within(most)).distinct(), "near")
+    wanted = near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).unionByName(stars.select(F.col("a").alias("u"))).unionByName(stars.select(F.col("b").alias("u"))).distinct()
+    sets = _sets(docs_, units, wanted).join(units.select(F.col("unit").alias("_unit"), F.col("bits").alias("sketch")), F.col("unit") == F.col("_unit")).drop("_unit")
+    sets = stage(sets, "sets")
+    links = stage(exact(near, sets, similar), "links")
+    found = joined(links)
+    # buckets whose units are all of their leader's class are done; the others go on with further leaders
+    of = sized(found)
+    side = lambda c: of.select(F.col("unit").alias(f"_{c}"), F.col("class").alias(f"of_{c}"))
+    apart = stars.join(side("a"), F.col("a") == F.col("_a"), "left").join(side("b"), F.col("b") == F.col("_b"), "left")
+    apart = stage(apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(F.col("a").alias("_a"), F.col("b").alias("_b")), "apart")
+    if apart.limit(1).count():
+        open_ = stage(crowd.join(sized(apart), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi").select(F.col("key").alias("_key")).distinct(), "open")
+        buckets = stage(crowd.join(sized(open_), F.col("key") == F.col("_key"), "left_semi").select("key", F.col("a").alias("unit")), "buckets")
+        found = classes(sets, similar, buckets=buckets, linked=links, most=most)
+    of = sized(found).withColumnsRenamed({"unit": "_unit", "class": "_class"})
+    many = stage(units.join(of, F.col("unit") == F.col("_unit"), "left").select("unit", "at", "n", F.coalesce("_class", "unit").alias("class")), "many")
+    least = sized(stage(many.groupBy("class").agg(F.min("at").alias("least"), F.sum("n").alias("n")).filter("n > 1").select(F.col("class").alias("_class"), "least"), "least"))
+    of = sized(stage(many.join(least, F.col("class") == F.col("_class")).select(F.col("unit").alias("_unit"), "class", "least"), "of"))
+    # a text that is alone is its own group; rows of the others find their group by a table of their units, small or dealt by unit
+    out = wide_prints.select("doc_id", "mark", "unit").join(of, F.col("unit") == F.col("_unit"), "left")
+    return out.select("doc_id", "mark", F.coalesce("class", "unit").alias("class"), F.when(F.col("_unit").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"))
 
 
 def _sets(docs: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -287,9 +305,11 @@ def _sets(docs: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with the one row of each group of near copies whose id is the smallest; columns as they are.
-
-    Rows with a null id stay, as nothing tells which of them to keep; repeated rows of the kept id all stay."""
-    gone = near_copies(docs, doc_id=doc_id, text=text, similar=similar).filter(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = sized(stage(gone, "gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """``docs`` with the one row of each group of near copies whose id is the smallest; columns, whatever their names, as they are.
+
+    Rows with a null id stay, as nothing tells which of them to keep; rows of one group that repeat the kept id all stay. A row whose id
+    another row bears goes only for its own text."""
+    found = near_copies(docs, doc_id=doc_id, text=text, similar=similar).filter(F.col("doc_id") != F.col("least"))
+    gone = sized(stage(found.select(F.col("doc_id").alias("gone"), "mark").distinct(), "gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("of"))
+    return rows.join(gone, (F.col("id") == F.col("gone")) & (F.col("of") == F.col("mark")), "left_anti").select("row.*")
