@@ -316,10 +316,48 @@ def test_contract_accepts_and_refuses(spark):
     assert contract.metadata_problems(meta, {0, 1}) and contract.metadata_problems({})
 
 
+def _blobs(spark, names="ab"):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k, s in enumerate(names):
+        x = np.concatenate([rng.normal(size=(30, 2)) * 0.3 + c for c in ((k, 0), (4, k), (0, 5))])
+        rows += [(s, i + 1, float(a), float(b)) for i, (a, b) in enumerate(x)]
+    return rows, spark.createDataFrame(rows, "series_id string, i int, x double, y double")
+
+
 def test_kmeans_takes_the_restarts_and_iterations_of_the_reference(spark, monkeypatch):
     made = []
     fit = clustering.KMeans
     monkeypatch.setattr(clustering, "KMeans", lambda **options: made.append(options) or fit(**options))
+    monkeypatch.setattr(clustering, "LONG", 30)  # by all tasks
     df = spark.createDataFrame([("a", i, float(i % 7), float(i % 5)) for i in range(40)], "series_id string, i int, x double, y double")
     assert clustering.kmeans(df, ["x", "y"], 3).count() == 40
     assert len({m["seed"] for m in made}) == 10 and {m["maxIter"] for m in made} == {500}
+
+
+@pytest.mark.parametrize("long", [1_000_000, 50])
+def test_kmeans_clusters_each_series_by_itself(spark, monkeypatch, long):
+    monkeypatch.setattr(clustering, "LONG", long)
+    rows, df = _blobs(spark)
+    got = {(r["series_id"], r["i"]): (r["regime"], r["d_own"], r["d_other"]) for r in clustering.kmeans(df, ["x", "y"], 3).collect()}
+    alone = {(r["series_id"], r["i"]): (r["regime"], r["d_own"], r["d_other"]) for r in clustering.kmeans(df.filter("series_id = 'b'"), ["x", "y"], 3).collect()}
+    assert len(alone) == 90 and all(got[k][0] == v[0] and got[k][1:] == pytest.approx(v[1:]) for k, v in alone.items())
+    for s in "ab":
+        x = np.array([r[2:] for r in rows if r[0] == s])
+        x = (x - x.mean(0)) / (x.std(0) + 1e-12)
+        sides = [x[30 * k:30 * k + 30].mean(0) for k in range(3)]
+        order = sorted(range(3), key=lambda k: tuple(sides[k]))
+        for i, point in enumerate(x):
+            gaps = sorted(np.sqrt(((point - c) ** 2).sum()) for c in sides)
+            assert got[s, i + 1][0] == order.index(i // 30) and got[s, i + 1][1:] == pytest.approx(gaps[:2])
+
+
+def test_kmeans_of_few_rows_and_the_cost_of_its_fits(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 1.0), ("a", 2, 1.0, 1.0), ("b", 1, 1.0, 2.0), ("c", 1, None, 2.0)], "series_id string, i int, x double, y double")
+    assert {(r["series_id"], r["i"], r["regime"], r["d_own"]) for r in clustering.kmeans(df, ["x", "y"], 3).collect()} == {("a", 1, 0, 0.0), ("a", 2, 0, 0.0), ("b", 1, 0, 0.0)}
+    x = np.random.default_rng(3).normal(size=(60, 2))
+    for t in range(5):
+        centres, cost = clustering.lloyd(x, 3, np.random.default_rng(t))
+        d = ((x[:, None] - centres[None]) ** 2).sum(2)
+        assert cost == pytest.approx(d.min(1).sum())
+        assert all(centres[j] == pytest.approx(x[d.argmin(1) == j].mean(0)) for j in range(3))

@@ -1,4 +1,6 @@
-"""Clustering of feature rows: k-means over any number of rows, linkage on bounded samples, quantile bins without a fit."""
+"""Clustering of a series' feature rows: k-means over any number of them, linkage on bounded samples, quantile bins without a fit.
+
+Every series is clustered by its own rows alone, so its regimes do not depend on which other series are in the table."""
 
 from __future__ import annotations
 
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 from ..series import ordered, rows, settled, whole
 from .paths import standardized
 
-#: Rows that linkage may hold on the driver.
-SAMPLE = 2500
+#: Rows of a series beyond which linkage takes every second, third ... one, as the reference does.
+SAMPLE = 3000
+#: Rows of a series that a k-means fit may hold in one task; iterations of a fit.
+LONG, ROUNDS = 1_000_000, 500
 
 
 def tercile_regimes(df: DataFrame, *, ret: str = "ret", n: int = 20, bins: int = 3) -> DataFrame:
@@ -33,25 +37,65 @@ def tercile_regimes(df: DataFrame, *, ret: str = "ret", n: int = 20, bins: int =
     return df.withColumn("confidence", F.when(spread > 0, F.least(F.lit(1.0), 0.5 + gap / F.when(spread > 0, spread))).otherwise(0.5)).drop("_cuts")
 
 
+def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(centres, sum of squared distances) of one k-means fit: spread-out starting rows, then means until no row changes sides."""
+    start = [int(rng.integers(len(x)))]
+    gap = ((x - x[start[0]]) ** 2).sum(1)
+    while len(start) < k and gap.max() > 0:
+        start.append(int(rng.choice(len(x), p=gap / gap.sum())))
+        gap = np.minimum(gap, ((x - x[start[-1]]) ** 2).sum(1))
+    centres, side = x[start].copy(), None
+    for _ in range(rounds):
+        d = np.stack([((x - c) ** 2).sum(1) for c in centres], 1)
+        now = d.argmin(1)
+        if side is not None and (now == side).all():
+            break
+        side = now
+        sums, n = np.zeros_like(centres), np.bincount(side, minlength=len(centres))
+        np.add.at(sums, side, x)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centres, float(np.stack([((x - c) ** 2).sum(1) for c in centres], 1).min(1).sum())
+
+
 def kmeans(df: DataFrame, columns: list[str], k: int = 3, *, scale: bool = True, seed: int = 42, tries: int = 10, out: str = "regime") -> DataFrame:
-    """The best of ``tries`` k-means fits over rows with every column known; clusters numbered by the first column's mean, and
-    ``d_own`` and ``d_other``: distances to the own and the nearest other centre. Rows with a null column get none."""
-    known = df.dropna(subset=columns)
-    scaled = standardized(known.withColumns({f"_f_{c}": F.col(c).cast("double") for c in columns}), [f"_f_{c}" for c in columns]) if scale else known.withColumns({f"_f_{c}": F.col(c).cast("double") for c in columns})
-    scaled = settled(scaled)
-    vectors = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_v").transform(scaled)
-    fits = [KMeans(k=k, seed=seed + t, featuresCol="_v", maxIter=500).fit(vectors) for t in range(tries)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centres = sorted((list(map(float, c)) for c in best.clusterCenters()))
-    return assigned(scaled, [f"_f_{c}" for c in columns], centres, out).drop("_v", *[f"_f_{c}" for c in columns])
-
-
-def assigned(df: DataFrame, columns: list[str], centres: list[list[float]], out: str = "regime") -> DataFrame:
-    """Each row's nearest centre and the two distances (the centres are few and part of the plan)."""
-    d = F.array(*[F.sqrt(sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(columns, centre)), F.lit(0.0))) for centre in centres])
-    df = df.withColumn("_d", d).withColumn(out, (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
+    """For each series the best of ``tries`` k-means fits over its rows with every column known; clusters numbered by the first
+    column's mean, and ``d_own`` and ``d_other``: distances to the own and the nearest other centre. Rows with a null column
+    get none; a series with fewer than k different rows has as many clusters as those.
+
+    A series' fit is one task that holds its columns; series of over LONG rows are fitted one after the other by MLlib over all tasks.
+    Rows are assigned where they are, by a join with the few centres."""
+    names = [f"_f_{c}" for c in columns]
+    known = df.dropna(subset=columns).withColumns({n: F.col(c).cast("double") for n, c in zip(names, columns)})
+    scaled = settled(standardized(known, names) if scale else known)
+    features = scaled.select("series_id", F.array(*names).alias("v"))
+    sizes = settled(features.groupBy("series_id").agg(F.count("*").alias("n")))
+    long = [r[0] for r in sizes.filter(F.col("n") > LONG).select("series_id").toLocalIterator()]
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+        x = x[np.lexsort(x.T[::-1])]  # the same whatever order the rows come in
+        best = min((lloyd(x, k, np.random.default_rng(seed + t)) for t in range(tries)), key=lambda fit: fit[1])[0]
+        return pa.table({"series_id": table.column("series_id")[:1], "_centres": pa.array([sorted(best.tolist())], pa.list_(pa.list_(pa.float64())))})
+
+    schema = f"series_id {df.schema['series_id'].dataType.simpleString()}, _centres array<array<double>>"
+    short = features if not long else features.join(F.broadcast(sizes.filter(F.col("n") <= LONG).select("series_id")), "series_id", "left_semi")
+    centres = short.groupBy("series_id").applyInArrow(run, schema)
+    for one in long:
+        vectors = VectorAssembler(inputCols=names, outputCol="_v").transform(scaled.filter(F.col("series_id") == one))
+        fits = [KMeans(k=k, seed=seed + t, featuresCol="_v", maxIter=ROUNDS).fit(vectors) for t in range(tries)]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        centres = centres.unionByName(df.sparkSession.createDataFrame([(one, sorted(list(map(float, c)) for c in best.clusterCenters()))], schema))
+    return assigned(scaled, names, settled(centres), out).drop(*names)
+
+
+def assigned(df: DataFrame, columns: list[str], centres: DataFrame, out: str = "regime") -> DataFrame:
+    """Each row's nearest centre of its series and the two distances; centres: (series_id, _centres), numbered in their order."""
+    own = centres.select(F.col("series_id").alias("_s"), "_centres")
+    square = lambda c: sum(((F.col(n) - c[j]) * (F.col(n) - c[j]) for j, n in enumerate(columns)), F.lit(0.0))
+    df = df.join(own, F.col("series_id") == F.col("_s")).withColumn("_d", F.transform("_centres", lambda c: F.sqrt(square(c))))
+    df = df.withColumn(out, (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
     other = F.array_min(F.filter("_d", lambda x, i: i != F.col(out)))
-    return df.withColumn("d_own", F.array_min("_d")).withColumn("d_other", other).drop("_d")
+    return df.withColumn("d_own", F.array_min("_d")).withColumn("d_other", other).drop("_d", "_s", "_centres")
 
 
 def cluster_regimes(df: DataFrame, columns: list[str], k: int = 3, *, regime: str = "regime", at_least: int = 3, seed: int = 42) -> DataFrame:
@@ -59,12 +103,9 @@ def cluster_regimes(df: DataFrame, columns: list[str], k: int = 3, *, regime: st
     smaller regimes get 0. With k regimes or fewer each is its own cluster."""
     means = df.groupBy("series_id", F.col(regime).alias("_regime")).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in columns]).filter(F.col("_n") >= at_least)
     few = F.count("*").over(whole()) <= k
-    means = settled(means).withColumn("_few", few).withColumn("_rank", F.row_number().over(Window.partitionBy("series_id").orderBy("_regime")) - 1)
-    if means.select("_few").distinct().filter("not _few").limit(1).count():
-        fitted = kmeans(means, [f"_m_{c}" for c in columns], k, seed=seed, out="_cluster").select("series_id", "_regime", F.when(F.col("_few"), F.col("_rank")).otherwise(F.col("_cluster")).alias("_cluster"))
-    else:
-        fitted = means.select("series_id", "_regime", F.col("_rank").alias("_cluster"))
-    fitted = fitted.withColumnRenamed("series_id", "_s")
+    means = settled(means.withColumn("_few", few).withColumn("_rank", F.row_number().over(Window.partitionBy("series_id").orderBy("_regime")) - 1))
+    fitted = kmeans(means.filter("not _few"), [f"_m_{c}" for c in columns], k, seed=seed, out="_cluster").select("series_id", "_regime", "_cluster")
+    fitted = fitted.unionByName(means.filter("_few").select("series_id", "_regime", F.col("_rank").cast("int").alias("_cluster"))).withColumnRenamed("series_id", "_s")
     joined = df.join(fitted, (F.col("series_id") == F.col("_s")) & (F.col(regime) == F.col("_regime")), "left")
     return joined.withColumn("cluster", F.coalesce("_cluster", F.lit(0)).cast("int")).drop("_s", "_regime", "_cluster")
 

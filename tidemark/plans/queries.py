@@ -367,7 +367,20 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
     return windows.log_return(segment_px(s, d)).withColumn("score", F.abs("ret")).select("series_id", "i", "ts", "score")
 
 
-@register()
+_SC = f"{SEG}, {RET}, z AS (SELECT series_id, i, abs(ret) AS score FROM rt)"
+
+
+def _kept(width: int, *keys: str) -> str:
+    """The hits h that greedy suppression keeps, as a recursive table k."""
+    by = ", ".join(("series_id", *keys))
+    same = " AND ".join(f"h.{c} = k.{c}" for c in ("series_id", *keys))
+    return f"k AS (SELECT {by}, min(i) AS i FROM h GROUP BY {by} UNION ALL SELECT {', '.join('k.' + c for c in ('series_id', *keys))}, (SELECT min(h.i) FROM h WHERE {same} AND h.i >= k.i + {width}) FROM k WHERE k.i IS NOT NULL)"
+
+
+@register(f"""WITH RECURSIVE {_SC}, f AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS i, CAST([] AS DOUBLE[]) AS calm, CAST(NULL AS DOUBLE) AS lim, false AS ch FROM z
+UNION ALL SELECT series_id, i, CASE WHEN score IS NOT NULL AND NOT ch THEN list_append(calm, score)[-200:] ELSE calm END, lim, ch FROM (SELECT *, coalesce(score > lim, false) AS ch
+FROM (SELECT z.series_id, z.i, z.score, f.calm, CASE WHEN len(f.calm) >= 50 THEN list_aggregate(f.calm, 'quantile_cont', 0.95) END AS lim FROM f JOIN z ON z.series_id = f.series_id AND z.i = f.i + 1) x) y)
+SELECT series_id, i, {r('lim')} AS threshold, ch AS is_change FROM f WHERE i > 0""")
 def feedback_changes(s, d):
     return tidy(thresholds.feedback_percentile(_scored(s, d)), "series_id", "i", "is_change", threshold="threshold")
 
@@ -377,17 +390,37 @@ def gamma_changes(s, d):
     return tidy(thresholds.gamma_limit(_scored(s, d)), "series_id", "i", "is_change", threshold="threshold")
 
 
-@register()
+_M51 = f"({W} ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING)"
+
+
+@register(f"""WITH RECURSIVE {_SC}, al AS (SELECT series_id, quantile_cont(score, 0.5) AS al, quantile_cont(score, 0.6) AS fl FROM z GROUP BY 1),
+m AS (SELECT z.*, CASE WHEN count(*) OVER {_M51} = 51 THEN quantile_cont(score, 0.5) OVER {_M51} ELSE al END AS md, fl FROM z JOIN al USING (series_id)),
+t AS (SELECT a.series_id, a.i, max(a.score) AS score, greatest(max(a.md) + 1.5 * 1.4826 * quantile_cont(abs(b.score - a.md), 0.5), max(a.fl)) AS lim FROM m a JOIN m b ON b.series_id = a.series_id AND b.i BETWEEN a.i - 25 AND a.i + 25 GROUP BY 1, 2),
+h AS (SELECT series_id, i FROM t WHERE score > lim), {_kept(15)} SELECT t.series_id, t.i, {r('lim')} AS threshold, k.i IS NOT NULL AS is_change FROM t LEFT JOIN k ON k.series_id = t.series_id AND k.i = t.i""")
 def mad_changes(s, d):
     return tidy(thresholds.median_mad_limit(_scored(s, d)), "series_id", "i", "is_change", threshold="threshold")
 
 
-@register()
+_ALPHAS = (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.6, 0.5)
+_STEPS = " UNION ALL ".join(f"SELECT series_id, i, score, {j} AS j, CASE WHEN count(x) OVER {_BEF} >= 10 THEN quantile_cont(x, {a}) OVER {_BEF} END AS lim FROM w" for j, a in enumerate(_ALPHAS))
+
+
+@register(f"""WITH RECURSIVE {_SC}, w AS (SELECT *, CASE WHEN score > 0 THEN score END AS x FROM z), p AS (SELECT series_id, quantile_cont(score, 0.7) AS lim FROM z GROUP BY 1),
+q AS ({_STEPS} UNION ALL SELECT z.series_id, i, score, {len(_ALPHAS)} AS j, lim FROM z JOIN p USING (series_id)), h AS (SELECT series_id, j, i FROM q WHERE score > lim), {_kept(10, 'j')},
+n AS (SELECT series_id, j, count(i) AS n FROM k GROUP BY 1, 2), c AS (SELECT p.series_id, coalesce(min(CASE WHEN n BETWEEN 2 AND 100 AND j < {len(_ALPHAS)} THEN j END), {len(_ALPHAS)}) AS j FROM p LEFT JOIN n USING (series_id) GROUP BY 1)
+SELECT q.series_id, q.i, {r('q.lim')} AS threshold, k.i IS NOT NULL AS is_change FROM q JOIN c ON c.series_id = q.series_id AND c.j = q.j LEFT JOIN k ON k.series_id = q.series_id AND k.j = q.j AND k.i = q.i""")
 def quantile_ladder(s, d):
     return tidy(thresholds.ladder_quantile(_scored(s, d)), "series_id", "i", "is_change", threshold="threshold")
 
 
-@register()
+_PASSES = (("a", 0.88, 3), ("b", 0.75, 2), ("c", 0.92, 4))
+
+
+@register(f"""WITH {_SC}, e AS (SELECT *, CASE WHEN i < 60 THEN 0.0 ELSE coalesce((score - avg(score) OVER {WALL}) / (stddev_samp(score) OVER {WALL} + 1e-8), 0) END AS ez FROM z),
+q AS (SELECT series_id, count(score) < 30 AS few, {', '.join(f'quantile_cont(score, {p}) AS s{x}, quantile_cont(ez, {p}) AS z{x}' for x, p, _ in _PASSES)} FROM e GROUP BY 1),
+f AS (SELECT e.*, {', '.join(f'CAST(coalesce(CASE WHEN few THEN score > s{x} ELSE ez > z{x} END, false) AS INT) AS f{x}' for x, _, _ in _PASSES)} FROM e JOIN q USING (series_id)),
+g AS (SELECT series_id, i, {', '.join(f'sum(f{x}) OVER {fr(n)} >= {n} AS {x}' for x, _, n in _PASSES)} FROM f), n AS (SELECT series_id, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE c) AS nc FROM g GROUP BY 1)
+SELECT g.series_id, i, CASE WHEN na = 0 THEN b WHEN na > 40 AND nc BETWEEN 2 AND 40 THEN c ELSE a END AS is_change FROM g JOIN n USING (series_id)""")
 def two_pass_changes(s, d):
     return thresholds.two_pass(_scored(s, d)).select("series_id", "i", "is_change")
 
@@ -452,12 +485,29 @@ def overlap_profile(s, d):
     return tidy(segments.overlap_stats(df.drop("regime"), ens, span=5), "series_id", "regime", "n", mean_ret="mean_ret", vol="vol")
 
 
-@register()
+def _merging(limit: int, right_wins: str) -> str:
+    """Runs as a list of (label, n), of which one step gives the first run under ``limit`` rows a neighbour's label and joins it with
+    neighbours of that label; ``right_wins`` decides between two neighbours."""
+    size = lambda v: f"list_sum(list_transform(list_filter(l, lambda x: x.label = {v}), lambda x: x.n))"
+    wins = right_wins.format(right="l[p + 1]", left="l[p - 1]", right_size=size("l[p + 1].label"), left_size=size("l[p - 1].label"))
+    return f"""{_SEGS}, rn AS (SELECT series_id, seg, min(regime) AS label, count(*) AS n FROM sg GROUP BY 1, 2),
+st AS (SELECT series_id, 0 AS step, list({{'label': CAST(label AS INT), 'n': CAST(n AS INT)}} ORDER BY seg) AS l FROM rn GROUP BY 1
+UNION ALL SELECT series_id, step + 1, list_concat(list_concat(CASE WHEN p > 1 AND l[p - 1].label <> v THEN l[1:p - 1] WHEN p > 2 THEN l[1:p - 2] ELSE l[1:0] END,
+[{{'label': v, 'n': CAST(l[p].n + CASE WHEN p > 1 AND l[p - 1].label = v THEN l[p - 1].n ELSE 0 END + CASE WHEN p < len(l) AND l[p + 1].label = v THEN l[p + 1].n ELSE 0 END AS INT)}}]),
+CASE WHEN p < len(l) AND l[p + 1].label <> v THEN l[p + 1:] WHEN p + 1 < len(l) THEN l[p + 2:] ELSE l[1:0] END)
+FROM (SELECT *, CASE WHEN p = 1 THEN l[2].label WHEN p = len(l) THEN l[p - 1].label WHEN {wins} THEN l[p + 1].label ELSE l[p - 1].label END AS v
+FROM (SELECT *, CAST(list_position(list_transform(l, lambda x: x.n < {limit}), true) AS BIGINT) AS p FROM st) x WHERE p > 0 AND len(l) > 1) y),
+fin AS (SELECT series_id, arg_max(l, step) AS l FROM st GROUP BY 1), un AS (SELECT series_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS k FROM fin),
+ends AS (SELECT series_id, x.label AS label, x.n AS n, sum(x.n) OVER (PARTITION BY series_id ORDER BY k) AS last FROM un)
+SELECT g.series_id, g.i, ends.label AS regime FROM g JOIN ends ON ends.series_id = g.series_id AND g.i BETWEEN last - n + 1 AND last"""
+
+
+@register(f"WITH RECURSIVE {_merging(15, '{right_size} > {left_size}')}")
 def merge_regime(s, d):
     return segments.merged(regimes(s, d), policy="regime", limit=15).select("series_id", "i", "regime")
 
 
-@register()
+@register(f"WITH RECURSIVE {_merging(5, '{left}.n < {right}.n')}")
 def merge_neighbor(s, d):
     return segments.merged(regimes(s, d), policy="neighbor", limit=5).select("series_id", "i", "regime")
 
@@ -574,10 +624,19 @@ def event_response(s, d):
     return tidy(evaluate.event_response(evaluate.spike_events(df, "vol"), changes), "series_id", "event", "event_ts", "lag_days", score="score")
 
 
-@register("SELECT 'a' AS series_id, 75.6 AS total, 'B' AS grade")
+_PARTS = ("separability", "stability", "alignment", "walk_forward", "responsiveness")
+
+
+@register(f"""WITH {REGIME}, a AS (SELECT series_id, count(*) AS n_days, round_even(25 * avg(confidence), 6) AS separability, round_even(15 * avg(CAST(regime = 2 AS INT)), 6) AS stability, round_even(25 * avg(CAST(regime < 2 AS INT)), 6) AS alignment,
+round_even(25 * min(vol) / max(vol), 6) AS walk_forward, round_even(10 * avg(confidence), 6) AS responsiveness FROM g GROUP BY 1), b AS (SELECT * FROM a UNION ALL SELECT * REPLACE (series_id || '/short' AS series_id, 100 AS n_days) FROM a),
+t AS (SELECT series_id, round(CASE WHEN n_days < 252 THEN (separability + stability + alignment + responsiveness) * 100 / 75 ELSE separability + stability + alignment + walk_forward + responsiveness END, 4) AS total FROM b)
+SELECT series_id, total, CASE WHEN total >= 85 THEN 'A' WHEN total >= 70 THEN 'B' WHEN total >= 55 THEN 'C' WHEN total >= 40 THEN 'D' ELSE 'F' END AS grade FROM t""")
 def composite_grade(s, d):
-    row = s.createDataFrame([("a", 1000, 23.0, 13.8, 15.3, 16.0, 7.5)], "series_id string, n_days int, separability double, stability double, alignment double, walk_forward double, responsiveness double")
-    return evaluate.composite(row).select("series_id", "total", "grade")
+    """Totals and grades of five made-up scores a series (shares of its confidences, regimes and volatilities), as they are and as of a short series."""
+    points = dict(zip(_PARTS, (25 * F.avg("confidence"), 15 * F.avg((F.col("regime") == 2).cast("int")), 25 * F.avg((F.col("regime") < 2).cast("int")), 25 * F.min("vol") / F.max("vol"), 10 * F.avg("confidence"))))
+    whole_ = regimes(s, d).groupBy("series_id").agg(F.count("*").alias("n_days"), *[F.bround(c, 6).alias(n) for n, c in points.items()])
+    short = whole_.withColumn("series_id", F.concat("series_id", F.lit("/short"))).withColumn("n_days", F.lit(100).cast("long"))
+    return evaluate.composite(whole_.unionByName(short)).select("series_id", "total", "grade")
 
 
 @register()

@@ -104,9 +104,13 @@ def events_px(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir`` (a local folder where that is unset, as in tests): for what a plan
-    uses several times, as fits and self-joins do."""
+    """``df`` computed once and kept in ``spark.checkpoint.dir``: for what a plan uses several times, as fits and self-joins do.
+
+    Where that is unset, a local session (tests) gets a new folder; on a cluster it raises, as executors would not share it."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.contract import metadata_json, validate
@@ -18,10 +18,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
-def write_regimes(out: DataFrame, path: str, meta: dict, *, fixed_decimals: bool = False, **limits) -> None:
+def write_regimes(out: DataFrame, path: str, meta: dict, *, fixed_decimals: bool = False, repair: bool = False, **limits) -> None:
     """``path``/{series_id}/part*.csv with a header, \\n line ends and yyyy-MM-dd dates, and metadata.json; raises on a broken contract.
 
-    A series is written by one task, ordered by date. fixed_decimals writes confidence with four digits always."""
+    A series is written by one task, ordered by date. fixed_decimals writes confidence with four digits always; repair sets the
+    transition flags right before the contract is checked."""
+    out = repaired(out) if repair else out
     validate(out, meta, **limits)
     rows = out.withColumn("confidence", F.format_string("%.4f", "confidence")) if fixed_decimals else out
     (rows.repartition("series_id").sortWithinPartitions("series_id", "date").write.partitionBy("series_id").mode("overwrite")
@@ -29,9 +31,30 @@ def write_regimes(out: DataFrame, path: str, meta: dict, *, fixed_decimals: bool
     write_text(out.sparkSession, f"{path}/metadata.json", metadata_json(meta))
 
 
-def text_report(segments: DataFrame, title: str, limit: int = 200) -> str:
-    """A fixed-width table of segments (at most ``limit`` lines: it is for reading)."""
+def repaired(out: DataFrame) -> DataFrame:
+    """``out`` with transition flags that mark exactly the changes of predicted_regime, the first row of a series 0: the one
+    breach that is mended instead of refused."""
+    by = Window.partitionBy("series_id").orderBy("date")
+    change = F.coalesce((F.col("predicted_regime") != F.lag("predicted_regime").over(by)).cast("int"), F.lit(0))
+    return out.withColumn("transition_flag", change.cast(out.schema["transition_flag"].dataType))
+
+
+def report_lines(segments: DataFrame) -> DataFrame:
+    """(series_id, seg, line): the fixed-width line of each segment, made where the segments are."""
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(F.rpad(text("series_id"), 16, " "), F.lpad(text("seg"), 5, " "), F.lpad(text("regime"), 8, " "), F.lit("  "), F.rpad(text("start_ts"), 12, " "), F.rpad(text("end_ts"), 12, " "), F.lpad(text("n_days"), 6, " "))
+    return segments.select("series_id", "seg", line.alias("line"))
+
+
+def text_report(segments: DataFrame, title: str) -> str:
+    """A fixed-width table of all segments, drawn from the executors partition by partition."""
     lines = [title, "=" * len(title), f"{'series':<16}{'seg':>5}{'regime':>8}  {'start':<12}{'end':<12}{'days':>6}"]
-    for r in segments.orderBy("series_id", "seg").limit(limit).collect():
-        lines.append(f"{r['series_id']:<16}{r['seg']:>5}{r['regime']:>8}  {r['start_ts']!s:<12}{r['end_ts']!s:<12}{r['n_days']:>6}")
+    lines += [r["line"] for r in report_lines(segments).orderBy("series_id", "seg").toLocalIterator()]
     return "\n".join(lines) + "\n"
+
+
+def plot_data(df: DataFrame, *, score: str = "score", threshold: str = "threshold", flag: str = "is_change") -> DataFrame:
+    """(series_id, ts, kind, value): the price, score and threshold lines and the change marks of a chart, as one table."""
+    kinds = {"price": F.col("close"), "score": F.col(score), "threshold": F.col(threshold), "change": F.when(F.col(flag), F.col("close"))}
+    points = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("double").alias("value")) for k, c in kinds.items()])
+    return df.select("series_id", "ts", F.explode(points).alias("p")).select("series_id", "ts", "p.kind", "p.value").filter(F.col("value").isNotNull())
