@@ -228,12 +228,12 @@ def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = Non
         widest = apart.agg(F.max("n")).first()[0]
         if widest is None:
             break
-        left = now.join(sized(apart), F.col("key") == F.col("_key"))
+        apart, same = sized(apart), F.col("key") == F.col("_key")
         last = turn == STARS or bool(turn) and widest <= FEW
         if last:
-            near = across(stage(left.select("key", "unit", "class"), "left"), table, most)
+            near = across(stage(now.join(apart, same).select("key", "unit", "class"), "left"), table, most)
         else:
-            stars = left.filter(F.col("class") != F.col("of")).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
+            stars = now.join(apart, same & (F.col("class") != F.col("of"))).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
             near = kept(with_both(stage(stars.distinct(), "stars"), table, "sketch"), within(most))
         new = stage(exact(stage(near.distinct(), "near"), table, similar), "links")
         if new.limit(1).count():
