@@ -39,17 +39,11 @@ def repaired(out: DataFrame) -> DataFrame:
     return out.withColumn("transition_flag", change.cast(out.schema["transition_flag"].dataType))
 
 
-def report_lines(segments: DataFrame) -> DataFrame:
-    """(series_id, seg, line): the fixed-width line of each segment, made where the segments are."""
-    text = lambda c: F.col(c).cast("string")
-    line = F.concat(F.rpad(text("series_id"), 16, " "), F.lpad(text("seg"), 5, " "), F.lpad(text("regime"), 8, " "), F.lit("  "), F.rpad(text("start_ts"), 12, " "), F.rpad(text("end_ts"), 12, " "), F.lpad(text("n_days"), 6, " "))
-    return segments.select("series_id", "seg", line.alias("line"))
-
-
 def text_report(segments: DataFrame, title: str) -> str:
     """A fixed-width table of all segments, drawn from the executors partition by partition."""
     lines = [title, "=" * len(title), f"{'series':<16}{'seg':>5}{'regime':>8}  {'start':<12}{'end':<12}{'days':>6}"]
-    lines += [r["line"] for r in report_lines(segments).orderBy("series_id", "seg").toLocalIterator()]
+    for r in segments.orderBy("series_id", "seg").toLocalIterator():
+        lines.append(f"{r['series_id']:<16}{r['seg']:>5}{r['regime']:>8}  {r['start_ts']!s:<12}{r['end_ts']!s:<12}{r['n_days']:>6}")
     return "\n".join(lines) + "\n"
 
 
