@@ -158,12 +158,11 @@ def _most(similar: float) -> int:
 
 
 def across(rest: DataFrame, table: DataFrame, most: int) -> DataFrame:
-    """(a, b): units of different classes in a bucket (key, unit, class) whose sketches are near.
+    """(a, b): units of different classes in a bucket (key, unit, class, n: units of the bucket) whose sketches are near.
 
     A task compares a bucket's sketches among themselves and gives back near pairs only; a bucket of over BLOCK units is cut into
     blocks, and each two blocks are a portion of their own, so portions are bounded and no pair is left out."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("key", "_key")
-    rows = rest.join(sizes, F.col("key") == F.col("_key")).withColumn("side", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    rows = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("portion"), (F.col("side") < F.col("other")).alias("low"), (F.col("side") > F.col("other")).alias("high"), "unit", "class")
     rows = rows.join(table.select(F.col("unit").alias("_u"), "sketch"), F.col("unit") == F.col("_u")).drop("_u")
@@ -207,31 +206,33 @@ def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = Non
     table: staged (unit, shingles, sketch); buckets: staged (key, unit) of units that collide, the table's column ``keys`` if none are
     given; linked: links (a, b) known before, from one leader of each bucket at least; most: differing sketch bits that a pair
     may have. In each round every bucket compares one leader with its units of other classes, and verified links join classes;
-    buckets whose units are all of one class are done. Once no bucket holds more than FEW units, or after STARS rounds,
-    what leaders left apart is compared class against class. So no link between units of a bucket is lost, while a bucket of
+    buckets whose units are all of one class are done. Once no bucket holds more than FEW units, or a round closes less than
+    half of them, or after STARS rounds, what leaders left apart is compared class against class. So no link between units of a bucket is lost, while a bucket of
     copies makes no more pairs than it has units in a round."""
     most = _most(similar) if most is None else most
     if buckets is None:
         keyed = table.select("unit", F.explode("keys").alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("_key"))
         buckets = stage(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "unit"), "buckets")
-    found = None if linked is None else joined(linked)
+    found, before = None if linked is None else joined(linked), None
     for turn in range(0 if linked is None else 1, STARS + 1):
         if found is None:
             now = buckets.withColumn("class", F.col("unit"))
         else:
             of = sized(found).withColumnsRenamed({"unit": "_unit", "class": "_class"})
             now = buckets.join(of, F.col("unit") == F.col("_unit"), "left").select("key", "unit", F.coalesce("_class", "unit").alias("class"))
+            now = stage(now, "now")
         leader = F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("r"), F.col("unit").alias("leader"), F.col("class").alias("of"))).alias("first")
         apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), leader).filter("lo <> hi")
         apart = stage(apart.select(F.col("key").alias("_key"), "n", F.col("first.leader").alias("leader"), F.col("first.of").alias("of")), "apart")
-        widest = apart.agg(F.max("n")).first()[0]
+        widest, open_ = apart.agg(F.max("n"), F.count("*")).first()
         if widest is None:
             break
         apart, same = sized(apart), F.col("key") == F.col("_key")
-        last = turn == STARS or bool(turn) and widest <= FEW
+        last = turn == STARS or bool(turn) and (widest <= FEW or before is not None and 2 * open_ > before)
+        before = open_
         if last:
-            near = across(stage(now.join(apart, same).select("key", "unit", "class"), "left"), table, most)
+            near = across(stage(now.join(apart, same).select("key", "unit", "class", "n"), "left"), table, most)
         else:
             stars = now.join(apart, same & (F.col("class") != F.col("of"))).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
             near = kept(with_both(stage(stars.distinct(), "stars"), table, "sketch"), within(most))
