@@ -27,7 +27,7 @@ SEED = 42
 BUCKET = 64
 _BITS = 4096
 #: Segment buckets of at most so many texts are paired at once; larger ones are compared with a leader at a time.
-PAIRED = 16
+PAIRED = 4
 #: Segment keys of a partition.
 RANGE = 1 << 20
 #: Bits of a wide fingerprint, and hashes that are added up at once.
