@@ -206,15 +206,15 @@ def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = Non
     table: staged (unit, shingles, sketch); buckets: staged (key, unit) of units that collide, the table's column ``keys`` if none are
     given; linked: links (a, b) known before, from one leader of each bucket at least; most: differing sketch bits that a pair
     may have. In each round every bucket compares one leader with its units of other classes, and verified links join classes;
-    buckets whose units are all of one class are done. Once no bucket holds more than FEW units, or a round closes less than
-    half of them, or after STARS rounds, what leaders left apart is compared class against class. So no link between units of a bucket is lost, while a bucket of
+    buckets whose units are all of one class are done. Once no bucket holds more than FEW units, or after STARS rounds, or, where
+    ``linked`` is given, a round closes less than half of them, what leaders left apart is compared class against class. So no link between units of a bucket is lost, while a bucket of
     copies makes no more pairs than it has units in a round."""
     most = _most(similar) if most is None else most
     if buckets is None:
         keyed = table.select("unit", F.explode("keys").alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("_key"))
         buckets = stage(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "unit"), "buckets")
-    found, before = None if linked is None else joined(linked), None
+    found, before, met_leaders = None if linked is None else joined(linked), None, linked is not None
     for turn in range(0 if linked is None else 1, STARS + 1):
         if found is None:
             now = buckets.withColumn("class", F.col("unit"))
@@ -230,7 +230,7 @@ def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = Non
             break
         apart, same = sized(apart), F.col("key") == F.col("_key")
         last = turn == STARS or bool(turn) and (widest <= FEW or before is not None and 2 * open_ > before)
-        before = open_
+        before = open_ if met_leaders else None
         if last:
             near = across(stage(now.join(apart, same).select("key", "unit", "class", "n"), "left"), table, most)
         else:
