@@ -157,19 +157,33 @@ def _most(similar: float) -> int:
     return int(bits * differ + 3 * np.sqrt(bits * differ * (1 - differ)))
 
 
-def across(rest: DataFrame, table: DataFrame, most: int) -> DataFrame:
+def least_shared(keys: Callable[[np.ndarray], np.ndarray], bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that the rows a and b of ``bits`` share, pair by pair; each pair must share one."""
+    own, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    all_keys = keys(bits[own])
+    out = np.empty(len(a), np.int64)
+    for i in range(0, len(a), BLOCK):
+        x, y = all_keys[at[:len(a)][i:i + BLOCK]], all_keys[at[len(a):][i:i + BLOCK]]
+        out[i:i + BLOCK] = np.where(x == y, x, np.iinfo(np.int64).max).min(1)
+    return out
+
+
+def across(rest: DataFrame, table: DataFrame, most: int, keys: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(a, b): units of different classes in a bucket (key, unit, class, n: units of the bucket) whose sketches are near.
 
     A task compares a bucket's sketches among themselves and gives back near pairs only; a bucket of over BLOCK units is cut into
-    blocks, and each two blocks are a portion of their own, so portions are bounded and no pair is left out."""
+    blocks, and each two blocks are a portion of their own, so portions are bounded and no pair is left out. keys: all bucket keys
+    of each sketch; where given, a pair that shares several buckets is given back by the one with the smallest key alone, and there
+    only if neither is the bucket's smallest unit (column ``least``): such pairs, and those whose smallest shared key is not
+    among ``rest``, must have been compared before."""
     rows = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("portion"), (F.col("side") < F.col("other")).alias("low"), (F.col("side") > F.col("other")).alias("high"), "unit", "class")
+    rows = rows.select(F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("portion"), "key", (F.col("side") < F.col("other")).alias("low"), (F.col("side") > F.col("other")).alias("high"), "unit", "class", *(["least"] if keys is not None else []))
     rows = rows.join(table.select(F.col("unit").alias("_u"), "sketch"), F.col("unit") == F.col("_u")).drop("_u")
 
     def near(portion: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(portion)
-        unit, of = t.column("unit").to_numpy(), t.column("class").to_numpy()
+        unit, of, key = (t.column(c).to_numpy() for c in ("unit", "class", "key"))
         low, high = (t.column(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
         bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(unit), -1)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -177,9 +191,15 @@ def across(rest: DataFrame, table: DataFrame, most: int) -> DataFrame:
             # a block meets another one from both sides, but its own units only in its own portion
             rest_ = np.nonzero((of[i + 1:] != of[i]) & ~(low[i] & low[i + 1:]) & ~(high[i] & high[i + 1:]))[0] + i + 1
             hit = rest_[np.bitwise_count(bits[rest_] ^ bits[i]).sum(1) <= most]
-            a.append(np.minimum(unit[i], unit[hit]))
-            b.append(np.maximum(unit[i], unit[hit]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+        a, b = np.concatenate(a), np.concatenate(b)
+        if keys is not None and len(a):
+            first = least_shared(keys, bits, a, b)
+            least = t.column("least").to_numpy()
+            at = (key[a] == first) & (key[b] == first) & (unit[a] != least[a]) & (unit[b] != least[b])
+            a, b = a[at], b[at]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(unit[a], unit[b])), pa.array(np.maximum(unit[a], unit[b]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -200,21 +220,23 @@ def across(rest: DataFrame, table: DataFrame, most: int) -> DataFrame:
     return map_arrow(rows.repartition("portion").sortWithinPartitions("portion"), run, "a long, b long")
 
 
-def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = None, linked: DataFrame | None = None, most: int | None = None) -> DataFrame | None:
+def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = None, linked: DataFrame | None = None, most: int | None = None,
+            before: int | None = None, keys: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame | None:
     """(unit, class) for the units that are similar to another one; None if there are none.
 
     table: staged (unit, shingles, sketch); buckets: staged (key, unit) of units that collide, the table's column ``keys`` if none are
-    given; linked: links (a, b) known before, from one leader of each bucket at least; most: differing sketch bits that a pair
-    may have. In each round every bucket compares one leader with its units of other classes, and verified links join classes;
-    buckets whose units are all of one class are done. Once no bucket holds more than FEW units, or after STARS rounds, or, where
-    ``linked`` is given, a round closes less than half of them, what leaders left apart is compared class against class. So no link between units of a bucket is lost, while a bucket of
-    copies makes no more pairs than it has units in a round."""
+    given; linked: links (a, b) known before, those of each bucket's smallest unit at least; most: differing sketch bits that a pair
+    may have; before: the buckets there were before ``linked`` closed some of them; keys: see ``across``. In each round every bucket
+    compares one leader with its units of other classes, and verified links join classes; buckets whose units are all of one class
+    are done. Once no bucket holds more than FEW units, or after STARS rounds, or, where ``linked`` is given, a round closes less
+    than half of them, what leaders left apart is compared class against class. So no link between units of a bucket is lost, while
+    a bucket of copies makes no more pairs than it has units in a round."""
     most = _most(similar) if most is None else most
     if buckets is None:
         keyed = table.select("unit", F.explode("keys").alias("key"))
         shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select(F.col("key").alias("_key"))
         buckets = stage(keyed.join(shared, F.col("key") == F.col("_key")).select("key", "unit"), "buckets")
-    found, before, met_leaders = None if linked is None else joined(linked), None, linked is not None
+    found, met_leaders = None if linked is None else joined(linked), linked is not None
     for turn in range(0 if linked is None else 1, STARS + 1):
         if found is None:
             now = buckets.withColumn("class", F.col("unit"))
@@ -223,8 +245,8 @@ def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = Non
             now = buckets.join(of, F.col("unit") == F.col("_unit"), "left").select("key", "unit", F.coalesce("_class", "unit").alias("class"))
             now = stage(now, "now")
         leader = F.min(F.struct(F.xxhash64("unit", F.lit(turn)).alias("r"), F.col("unit").alias("leader"), F.col("class").alias("of"))).alias("first")
-        apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), leader).filter("lo <> hi")
-        apart = stage(apart.select(F.col("key").alias("_key"), "n", F.col("first.leader").alias("leader"), F.col("first.of").alias("of")), "apart")
+        apart = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"), F.min("unit").alias("least"), leader).filter("lo <> hi")
+        apart = stage(apart.select(F.col("key").alias("_key"), "n", "least", F.col("first.leader").alias("leader"), F.col("first.of").alias("of")), "apart")
         widest, open_ = apart.agg(F.max("n"), F.count("*")).first()
         if widest is None:
             break
@@ -232,7 +254,7 @@ def classes(table: DataFrame, similar: float, *, buckets: DataFrame | None = Non
         last = turn == STARS or bool(turn) and (widest <= FEW or before is not None and 2 * open_ > before)
         before = open_ if met_leaders else None
         if last:
-            near = across(stage(now.join(apart, same).select("key", "unit", "class", "n"), "left"), table, most)
+            near = across(stage(now.join(apart, same).select("key", "unit", "class", "n", "least"), "left"), table, most, keys)
         else:
             stars = now.join(apart, same & (F.col("class") != F.col("of"))).select(F.least("unit", "leader").alias("a"), F.greatest("unit", "leader").alias("b"))
             near = kept(with_both(stage(stars.distinct(), "stars"), table, "sketch"), within(most))

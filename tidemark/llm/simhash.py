@@ -10,7 +10,7 @@ a shingle are one shingle. Equal fingerprints are handled once, whatever the num
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -195,15 +195,20 @@ def segment_keys(bits: np.ndarray, width: int, segments: int) -> np.ndarray:
     return mix(value, np.arange(1, segments + 1, dtype=np.uint64))
 
 
+def _all_keys(bits: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """The segment keys of rows of packed bits, as signed numbers."""
+    with np.errstate(over="ignore"):
+        return segment_keys(np.unpackbits(bits, axis=1).astype(np.uint64), width, segments).view(np.int64)
+
+
 def _keyed(units: DataFrame, width: int, segments: int) -> DataFrame:
     """(key, unit): a row for each segment of (unit, bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 500):
                 b = whole.slice(begin, 500)
-                bits = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    keys = segment_keys(bits, width, segments).reshape(-1).view(np.int64)
+                bits = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                keys = _all_keys(bits, width, segments).reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column(0).to_numpy(), segments))], ["key", "unit"])
 
     return map_arrow(units.select("unit", "bits"), run, "key long, unit long")
@@ -258,7 +263,8 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     units = stage(wide_prints.groupBy("unit").agg(F.min("doc_id").alias("at"), F.min("bits").alias("bits"), F.count("*").alias("n")), "units")
     met = stage(_met(_keyed(units, width, segments), n * segments), "met")
     crowd, stars = met.filter("key is not null"), met.filter("key is not null and a <> b").select("a", "b").distinct()
-    near = stage(kept(with_both(met.filter("key is null").select("a", "b").unionByName(stars), units, "bits"), within(most)).distinct(), "near")
+    pairs = met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = stage(kept(with_both(pairs, units, "bits"), within(most)), "near")
     wanted = near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).unionByName(stars.select(F.col("a").alias("u"))).unionByName(stars.select(F.col("b").alias("u"))).distinct()
     sets = _sets(docs_, units, wanted).join(units.select(F.col("unit").alias("_unit"), F.col("bits").alias("sketch")), F.col("unit") == F.col("_unit")).drop("_unit")
     sets = stage(sets, "sets")
@@ -272,7 +278,8 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     if apart.limit(1).count():
         open_ = stage(crowd.join(sized(apart), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi").select(F.col("key").alias("_key")).distinct(), "open")
         buckets = stage(crowd.join(sized(open_), F.col("key") == F.col("_key"), "left_semi").select("key", F.col("a").alias("unit")), "buckets")
-        found = classes(sets, similar, buckets=buckets, linked=links, most=most)
+        # a pair is compared under its smallest shared key; above, keys of at most PAIRED units compared all pairs and others those of their smallest unit
+        found = classes(sets, similar, buckets=buckets, linked=links, most=most, before=crowd.filter("a = b").count(), keys=partial(_all_keys, width=width, segments=segments))
     of = sized(found).withColumnsRenamed({"unit": "_unit", "class": "_class"})
     many = stage(units.join(of, F.col("unit") == F.col("_unit"), "left").select("unit", "at", "n", F.coalesce("_class", "unit").alias("class")), "many")
     least = sized(stage(many.groupBy("class").agg(F.min("at").alias("least"), F.sum("n").alias("n")).filter("n > 1").select(F.col("class").alias("_class"), "least"), "least"))
